@@ -67,6 +67,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its document.
+
+    Rows that repeat an id share its copies evenly: they are numbered, and the numbers are dealt to them in turn.
+    """
+    copies = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = copies.select(*(F.col(c).alias(f"_{c}") for c in copies.columns))
+    rows = docs.withColumn("_words", n_words(docs["text"]))
+    on = rows["doc_id"].eqNullSafe(F.col("_doc_id")) & rows["source"].eqNullSafe(F.col("_source")) & (rows["_words"] == F.col("_size"))
+    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    return rows.join(copies, on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each))).select(*docs.columns)
+
+
 def oracle(seed: int = SEED) -> str:
     """The same rows in DuckDB SQL: places by one window over each source."""
     u = repr(offset(seed))
