@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, mixing, packing, quality, secrets, token_store, topk
+from . import ann, mixing, packing, quality, repeats, secrets, token_store, topk
 from .common import scratch
 from .tokens import public_vocabulary
 
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -42,5 +46,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op7_top_products, op8_best_fit_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op6_repeated_bytes, op7_top_products, op8_best_fit_packing, op10_source_mix)}
 ORACLE = {"op7_top_products": topk.ORACLE, "op10_source_mix": mixing.oracle()}
