@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, mixing, packing, quality, repeats, secrets, token_store, topk
+from . import ann, mixing, near_duplicates, packing, quality, repeats, secrets, token_store, topk
 from .common import scratch
 from .tokens import public_vocabulary
 
@@ -41,10 +41,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary(), end_id=2)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op6_repeated_bytes, op7_top_products, op8_best_fit_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op6_repeated_bytes, op7_top_products, op8_best_fit_packing, op9_jaccard_join, op10_source_mix)}
 ORACLE = {"op7_top_products": topk.ORACLE, "op10_source_mix": mixing.oracle()}
