@@ -17,7 +17,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, partitions
+from .common import fresh, materialize, n_words, partitions
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, 20
@@ -70,14 +70,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes its document.
 
-    Rows that repeat an id share its copies evenly: they are numbered, and the numbers are dealt to them in turn.
+    Rows that repeat id, source and size share their copies evenly, the remainder by a seeded draw.
     """
-    copies = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    copies = copies.select(*(F.col(c).alias(f"_{c}") for c in copies.columns))
-    rows = docs.withColumn("_words", n_words(docs["text"]))
-    on = rows["doc_id"].eqNullSafe(F.col("_doc_id")) & rows["source"].eqNullSafe(F.col("_source")) & (rows["_words"] == F.col("_size"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return rows.join(copies, on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each))).select(*docs.columns)
+    copies = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source", "size").agg((F.sum("copies") / F.count("*")).alias("copies"))
+    own = {c: fresh(docs, f"mix_{c}") for c in (*copies.columns, "words")}
+    copies = copies.where("copies > 0").select(*(F.col(c).alias(own[c]) for c in copies.columns))
+    rows = docs.withColumn(own["words"], n_words(docs["text"]))
+    on = rows["doc_id"].eqNullSafe(copies[own["doc_id"]]) & rows["source"].eqNullSafe(copies[own["source"]]) & (rows[own["words"]] == copies[own["size"]])
+    whole = F.floor(F.col(own["copies"]))
+    times = whole + F.when(F.col(own["copies"]) > whole, (F.rand(seed) < F.col(own["copies"]) - whole).cast("int")).otherwise(0)
+    rows = rows.join(copies, on)
+    return rows.withColumn(own["words"], F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
 
 
 def oracle(seed: int = SEED) -> str:

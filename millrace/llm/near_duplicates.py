@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import MIX_1, MIX_2, chunks, mix, stretch_hashes
-from .common import materialize, partitions, ship
+from .common import fresh, materialize, partitions, ship
 from .components import components
 
 WORDS, THRESHOLD, KEY_BYTES = 5, 80, 6  # the threshold in hundredths
@@ -336,5 +336,6 @@ def region_links(sets: DataFrame, threshold: int, region_rows: int) -> DataFrame
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are not the smallest of their group; rows without doc_id stay."""
-    drop = groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_drop"), "left_anti")
+    name = fresh(docs, "dropped_id")
+    drop = groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[name], "left_anti")

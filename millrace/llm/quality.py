@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SAMPLE_ROWS, TREES, DEPTH, BINS, RATE, THRESHOLD, FOLDS, SEED = 20_000, 40, 3, 32, 0.3, 0.3, 5, 7
 PENALTIES = (3e-2, 1e-2, 3e-3, 1e-3, 3e-4)
 
@@ -169,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("_y"))
     known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id"))  # at most sample_rows rows of 12 bytes
-    stats = statistics(docs["text"])
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most sample_rows rows of 12 bytes
+    stats = statistics(F.col("text"))
     got = rows.select("_id", "_y", *(stats[c].cast("double").alias(c) for c in NAMES)).limit(sample_rows).toPandas()
     got = got.sort_values(["_id", *NAMES])
     return fit(got[list(NAMES)].to_numpy(np.float64), (got["_y"].to_numpy() > 0).astype(np.float64))
@@ -178,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
 def with_score(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
     """docs with a score column; the statistics are computed once per row and dropped."""
-    stats = {c: x.cast("double").alias(f"_stat_{c}") for c, x in statistics(docs["text"]).items()}
-    wide = docs.select("*", *stats.values())
-    return wide.withColumn(name, model.column({c: wide[f"_stat_{c}"] for c in NAMES})).select(*docs.columns, name)
+    own = {c: fresh(docs, f"stat_{c}") for c in NAMES}
+    wide = docs.select("*", *(x.cast("double").alias(own[c]) for c, x in statistics(docs["text"]).items()))
+    return wide.select(*docs.columns, model.column({c: wide[own[c]] for c in NAMES}).alias(name))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -191,5 +194,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns."""
-    scored = with_score(docs, train(docs, labels, sample_rows=sample_rows), "_quality")
-    return scored.where(F.col("_quality") >= threshold).select(*docs.columns)
+    name = fresh(docs, "quality_score")
+    scored = with_score(docs, train(docs, labels, sample_rows=sample_rows), name)
+    return scored.where(scored[name] >= threshold).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, mixing, near_duplicates, packing, quality, repeats, secrets, token_store, topk
+from . import ann, mixing, near_duplicates, packing, quality, repeats, secrets, token_store, topk, url_filters
 from .common import scratch
 from .tokens import public_vocabulary
 
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op6_repeated_bytes, op7_top_products, op8_best_fit_packing, op9_jaccard_join, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_token_output, op4_quality_rules, op5_url_templates, op6_repeated_bytes, op7_top_products, op8_best_fit_packing, op9_jaccard_join, op10_source_mix)}
 ORACLE = {"op7_top_products": topk.ORACLE, "op10_source_mix": mixing.oracle()}

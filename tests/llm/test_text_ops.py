@@ -205,3 +205,13 @@ def test_mixing_targets_and_awkward_rows(spark):
     copies = spark.createDataFrame([(i, "a b c", "s", "en", 5) for i in range(50)], "doc_id long, text string, source string, lang string, n_chars long")
     docs = copies.unionByName(copies.withColumn("source", F.lit("t")))
     assert sum(r.taken for r in mixing.mix(docs).collect()) == pytest.approx(450, abs=6)
+
+
+def test_resampled_rows(spark):
+    docs, rows = awkward(spark)
+    out = mixing.resample(docs.withColumn("mix_words", F.lit(1)))
+    assert out.columns == [*docs.columns, "mix_words"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    got = {r.doc_id: r["count"] for r in mixing.resample(docs).groupBy("doc_id").count().collect()}
+    assert got == want
