@@ -7,14 +7,23 @@ and rereads it as the next stage's docs. All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, secrets
+from millrace.llm import mixing, near_duplicates, packing, quality, secrets
 from millrace.llm.common import materialize
 from millrace.llm.tokens import public_vocabulary
 from millrace.session import table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rule ensemble does not reject; it learns from the labels of sf_dir."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that shingle links connect, the one with the smallest id."""
+    return near_duplicates.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced."""
     return secrets.redact(docs)
@@ -31,6 +40,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicate_groups", near_duplicate_groups),
     ("secret_scan", secret_scan),
     ("source_mix", source_mix),
     ("best_fit_packing", best_fit_packing),
