@@ -17,28 +17,44 @@ def _mirror(i: Column, n: Column) -> Column:
     return F.abs(i - F.when(i >= n, i - n + 2).otherwise(F.lit(0)))
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once: within a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def forward(a: Column) -> Column:
     """Low half, then high half, of an array of integers; arrays of fewer than two stay."""
-    n = F.size(a)
-    half = n - quotient(n, 2)
-    at = lambda i: F.get(a, _mirror(i, n))
-    high = F.transform(F.sequence(F.lit(0), quotient(n, 2) - 1), lambda k: F.get(a, 2 * k + 1) - quotient(at(2 * k) + at(2 * k + 2), 2))
-    detail = lambda i: F.get(high, quotient(_mirror(i, n), 2))
-    low = F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.get(a, 2 * k) + quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
-    return F.when(n < 2, a).otherwise(F.concat(low, high))
+
+    def lifted(a: Column) -> Column:
+        n = F.size(a)
+        at = lambda i: F.get(a, _mirror(i, n))
+        high = F.transform(F.sequence(F.lit(0), quotient(n, 2) - 1), lambda k: F.get(a, 2 * k + 1) - quotient(at(2 * k) + at(2 * k + 2), 2))
+
+        def with_high(high: Column) -> Column:
+            detail = lambda i: F.get(high, quotient(_mirror(i, n), 2))
+            low = F.transform(F.sequence(F.lit(0), n - quotient(n, 2) - 1), lambda k: F.get(a, 2 * k) + quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
+            return F.concat(low, high)
+
+        return F.when(n < 2, a).otherwise(_let(high, with_high))
+
+    return _let(a, lifted)
 
 
 def inverse(d: Column) -> Column:
-    n = F.size(d)
-    half = n - quotient(n, 2)
-    detail = lambda i: F.get(d, half + quotient(_mirror(i, n), 2))
-    even = F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.get(d, k) - quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
-    near = lambda i: F.get(even, quotient(_mirror(i, n), 2))
-    whole = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(i % 2 == 0, F.get(even, quotient(i, 2))).otherwise(F.get(d, half + quotient(i, 2)) + quotient(near(i - 1) + near(i + 1), 2)),
-    )
-    return F.when(n < 2, d).otherwise(whole)
+    def unlifted(d: Column) -> Column:
+        n = F.size(d)
+        half = n - quotient(n, 2)
+        detail = lambda i: F.get(d, half + quotient(_mirror(i, n), 2))
+        even = F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.get(d, k) - quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
+
+        def with_even(even: Column) -> Column:
+            near = lambda i: F.get(even, quotient(_mirror(i, n), 2))
+            odd = lambda i: F.get(d, half + quotient(i, 2)) + quotient(near(i - 1) + near(i + 1), 2)
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 2 == 0, F.get(even, quotient(i, 2))).otherwise(odd(i)))
+
+        return F.when(n < 2, d).otherwise(_let(even, with_even))
+
+    return _let(d, unlifted)
 
 
 def _div(a: np.ndarray, b: int) -> np.ndarray:
@@ -53,8 +69,8 @@ def lift(x: np.ndarray, axis: int) -> np.ndarray:
         return np.moveaxis(x, -1, axis)
     index = np.arange(n + 1)
     index[n] = n - 2
-    pair = x[..., index[0:n - 1:2]] + x[..., index[2 : n + 1 : 2]] if n > 2 or n == 2 else x
-    high = x[..., 1::2] - _div(pair[..., : n // 2], 2)
+    follow = x[..., index[2 : n + 1 : 2]]
+    high = x[..., 1::2] - _div(x[..., : n - 1 : 2][..., : n // 2] + follow[..., : n // 2], 2)
     m = n - n // 2
     before = np.concatenate([high[..., :1], high], axis=-1)[..., :m]
     after = np.concatenate([high, high[..., -1:]], axis=-1)[..., :m]

@@ -166,12 +166,9 @@ def refit(px: np.ndarray, sel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     f32 = np.float32
     order = ORDER[sel].astype(f32)
     a, b = (f32(3) - order) / f32(3), order / f32(3)
-    sums = [np.zeros(len(sel), f32) for _ in range(3)]
-    ax, bx = np.zeros((len(sel), 3), f32), np.zeros((len(sel), 3), f32)
-    for i in range(16):
-        sums = [sums[0] + a[:, i] * a[:, i], sums[1] + b[:, i] * b[:, i], sums[2] + a[:, i] * b[:, i]]
-        ax = ax + px[i].astype(f32) * a[:, i : i + 1]
-        bx = bx + px[i].astype(f32) * b[:, i : i + 1]
+    one = lambda x: np.cumsum(x, axis=1, dtype=f32)[:, -1]  # noqa: E731  added up in order, in single precision
+    sums = [one(a * a), one(b * b), one(a * b)]
+    ax, bx = (one(px.astype(f32)[None] * w[:, :, None]) for w in (a, b))
     aa, bb, ab = (s[:, None] for s in sums)
     det = aa * bb - ab * ab
     good = (sel != sel[:, :1]).any(axis=1)
