@@ -215,3 +215,21 @@ def dictionary_pass(px: np.ndarray, ep1: np.ndarray, ep2: np.ndarray, word: np.n
             known.append(int(word[i]))
         number[i] = chosen
     return ep1, ep2, np.array(known, dtype=np.int64), number
+
+
+def reassign(px: np.ndarray, ep1: np.ndarray, ep2: np.ndarray, word: np.ndarray, candidates: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selector words replaced by the best of a small set of candidates where the added error stays below the limit.
+
+    Blocks do not depend on one another: a candidate's use by other blocks does not count.
+    """
+    ep1, ep2, word = (np.array(x, dtype=np.int64) for x in (ep1, ep2, word))
+    plain, sel = block_error(px, decode(ep1, ep2, word)), selectors_of(np.asarray(candidates))
+    for i in range(len(px)):
+        a, b, good = refit(px[i], sel)
+        good &= truncate565(a) > truncate565(b)
+        colours = np.stack([a, b, (2 * a + b) // 3, (a + 2 * b) // 3], axis=1)
+        cost = np.where(good, block_error(px[i][None], np.take_along_axis(colours, sel[..., None], axis=1)) - plain[i], np.iinfo(np.int64).max)
+        best = int(cost.argmin())
+        if cost[best] < limit:
+            ep1[i], ep2[i], word[i] = truncate565(a[best]), truncate565(b[best]), candidates[best]
+    return ep1, ep2, word

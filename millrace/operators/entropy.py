@@ -6,7 +6,11 @@ has one list of words; decoding runs backwards and the highest lane takes the la
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .frequency import apportion_array
 
@@ -15,6 +19,44 @@ GROUP = LANES * LANE_SYMBOLS
 LEAST = K * TOTAL
 
 
+@dataclass(frozen=True)
+class Options:
+    """Frequencies, the renormalisation base b (a power of two) and the multiple k of the total."""
+
+    freq: tuple[int, ...]
+    b: int = 1 << WORD
+    k: int = K
+
+    def __post_init__(self) -> None:
+        total = sum(self.freq)
+        if len(self.freq) < 2 or min(self.freq) < 0 or total <= 0:
+            raise ValueError("two symbols or more with a positive total are needed")
+        if self.b < 2 or self.b & (self.b - 1) or self.k < 1 or self.b * self.k * total > 1 << 32:
+            raise ValueError("b must be a power of two, and b * k * total must fit 32 bits")
+
+    @property
+    def total(self) -> int:
+        return sum(self.freq)
+
+
+def lane_state(symbols: Column, options: Options) -> Column:
+    """End state, number of words and their sum of one lane's array of symbols, as a fold in SQL expressions."""
+    freq = F.array(*(F.lit(f).cast("long") for f in options.freq))
+    first = F.array(*(F.lit(sum(options.freq[:k])).cast("long") for k in range(len(options.freq))))
+    bits, limit, total = options.b.bit_length() - 1, options.b * options.k, options.total
+
+    def step(acc: Column, s: Column) -> Column:
+        f, c = F.get(freq, s), F.get(first, s)
+        full = acc["state"] >= f * limit
+        x = F.when(full, F.shiftright(acc["state"], bits)).otherwise(acc["state"])
+        word = F.when(full, acc["state"].bitwiseAND(options.b - 1)).otherwise(0)
+        state = F.call_function("div", x, f) * total + c + x % f
+        return F.struct(state.alias("state"), (acc["words"] + full.cast("long")).alias("words"), (acc["added"] + word).alias("added"))
+
+    start = F.struct(F.lit(options.k * total).cast("long").alias("state"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("added"))
+    return F.aggregate(symbols, start, step)
+
+
 def shuffled_slots(freq: np.ndarray, seed: int = 0) -> np.ndarray:
     """Symbol of each slot, the slots dealt in a seeded random order (the tabled coder)."""
     return np.random.default_rng(seed).permutation(np.repeat(np.arange(len(freq)), freq))

@@ -597,6 +597,20 @@ def _per_stream(f, schema):
     return run
 
 
+LANE = "q as (select user_id, v % 4 as s, row_number() over (partition by user_id order by ts, event_id) as i from seqs), c as (select user_id, i, [1024, 512, 256, 256][s + 1]::bigint as f, [0, 1024, 1536, 1792][s + 1]::bigint as b from q), z as (select user_id, 0::bigint as i, 32768::bigint as state, 0::bigint as words, 0::bigint as added from c group by user_id union all select c.user_id, c.i, (case when z.state >= c.f * 1048576 then z.state >> 16 else z.state end) // c.f * 2048 + c.b + (case when z.state >= c.f * 1048576 then z.state >> 16 else z.state end) % c.f, z.words + (z.state >= c.f * 1048576)::bigint, z.added + case when z.state >= c.f * 1048576 then z.state & 65535 else 0 end from z join c on c.user_id = z.user_id and c.i = z.i + 1)"
+
+
+def rans_encode_lane(spark, sf):
+    """One coder lane per user over the low two bits of the values, the fold in column expressions."""
+    s = C.sequences(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "v"))), lambda x: (x["v"] % 4).cast("int")).alias("a"))
+    options = entropy.Options((1024, 512, 256, 256))
+    return s.select("user_id", entropy.lane_state(F.col("a"), options).alias("e")).select("user_id", "e.*")
+
+
+QUERIES["rans_encode_lane"] = rans_encode_lane
+ORACLE["rans_encode_lane"] = "with recursive " + C.SQL["seqs"] + ", " + LANE + " select user_id, state, words, added from z qualify row_number() over (partition by user_id order by i desc) = 1"
+
+
 @query()
 def rans_group_encode(spark, sf):
     """Every source's stream through the interleaved coder and back: sizes and whether it is whole."""
@@ -705,6 +719,22 @@ def dict_pass(spark, sf):
     return rows.groupBy("image").applyInArrow(f, "block int, ep1 long, ep2 long, sel long, delta long, words long")
 
 
+@query()
+def reassign_selectors(spark, sf):
+    """Blocks moved to the most used selector words where that adds little error; the words are 16 at most."""
+    coded = compress_dxt(spark, sf)
+    words = [r.sel for r in neighbours.most_used(coded, "sel", 16).collect()]
+
+    def run(batches):
+        for b in batches:
+            px = np.array(b["px"].to_pylist(), dtype=np.int64).reshape(-1, 16, 3)
+            old = blocks.compress(px)
+            ep1, ep2, word = blocks.reassign(px, *old, np.array(words), 400.0) if len(px) else old
+            yield pa.RecordBatch.from_arrays([b["block"], *(pa.array(x, pa.int64()) for x in (ep1, ep2, word, old[2]))], ["block", "ep1", "ep2", "sel", "old"])
+
+    return _block_table(spark, sf).mapInArrow(run, "block int, ep1 long, ep2 long, sel long, old long")
+
+
 @query()
 def texture_headers(spark, sf):
     """DDS headers built as binary columns and parsed back, with their mip levels."""

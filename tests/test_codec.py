@@ -181,3 +181,17 @@ def test_streaming_delta(spark, tmp_path):
     from millrace.plans import registry
 
     assert got == {r.event_id: r.delta for r in registry.delta_encode(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_options():
+    assert entropy.Options((2, 1, 1), 256, 2).total == 4
+    for bad in (((4,),), ((1, -1),), ((1, 1), 3), ((1 << 20, 1), 1 << 16, 16)):
+        with pytest.raises(ValueError):
+            entropy.Options(*bad)
+
+
+def test_reassign_takes_cheap_candidates():
+    px = np.tile(np.linspace(0, 255, 16).astype(np.int64)[None, :, None], (5, 1, 3))
+    ep1, ep2, word = blocks.compress(px)
+    assert (blocks.reassign(px, ep1, ep2, word, word[:1], 50)[2] == word[0]).all()
+    assert (blocks.reassign(px, ep1, ep2, word, np.array([0]), 1e9)[2] == word).all()
