@@ -420,13 +420,13 @@ def _tiles(spark, sf, size: int):
        "rh as (select *, case when j % 2 = 1 then v - (lag(v) over c + coalesce(lead(v) over c, lag(v) over c)) // 2 end as h from cl window c as (partition by tile, i order by j)), "
        "rl as (select tile, i, case when j % 2 = 1 then 4 + j // 2 else j // 2 end as j, case when j % 2 = 1 then h else v + (coalesce(lag(h) over c, lead(h) over c) + coalesce(lead(h) over c, lag(h) over c) + 2) // 4 end as v from rh window c as (partition by tile, i order by j)); select tile, i::int as i, j::int as j, v::bigint as v from rl")
 def wavelet2d_tile(spark, sf):
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("a", i * 8 + 1, F.lit(8)))
-    turn = lambda m: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.transform(m, lambda r: F.get(r, j)))
-    t = _tiles(spark, sf, 8).select("tile", rows.alias("m"))
-    for _ in range(2):  # columns, then rows
-        t = t.withColumn("m", turn(F.col("m"))).withColumn("m", F.transform("m", transforms.forward))
-    t = t.select("tile", F.posexplode("m").alias("i", "row"))
-    return t.select("tile", "i", F.posexplode("row").alias("j", "v")).withColumn("v", F.col("v").cast("long"))
+    """Columns, then rows, each by window functions: no arrays, and a task holds a share of the tiles."""
+    x, y = F.col("x"), F.col("y")
+    px = C.colours(spark, sf).select(grid.block_number(x, y, C.WIDTH, 8).alias("tile"), (y % 8).alias("i"), (x % 8).alias("j"), F.col("r").alias("v"))
+    whole = px.withColumn("n", F.count("*").over(Window.partitionBy("tile"))).where("n = 64").drop("n")
+    down = scans.lifted(whole, "v", ["tile", "j"], "i").select("tile", "j", (F.col("band") * 4 + F.col("at")).cast("int").alias("i"), F.col("coef").alias("v"))
+    across = scans.lifted(down, "v", ["tile", "i"], "j")
+    return across.select("tile", "i", (F.col("band") * 4 + F.col("at")).cast("int").alias("j"), F.col("coef").alias("v"))
 
 
 @query()
