@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 # The rules as (verdict, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DEPTH, LEAST_PAGES, LEAST_SHARE, DIFFERENCE, HOST_PRIOR, ALL_PRIOR, REJECT = 4, 3, 0.02, 1.96, 4.0, 8.0, 0.6
@@ -55,6 +57,7 @@ def templates(pages: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAG
     shapes = pages.groupBy("host", shape_of(pages["path"]).alias("shape")).agg(
         F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
+    shapes = checkpoint(shapes)
     parts = F.filter(F.split("shape", "/"), lambda s: s != "")
     tree = shapes.withColumn("parts", parts).withColumn("template", F.lit(""))
     for level in range(depth):
@@ -75,7 +78,8 @@ def templates(pages: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAG
         child = child.select("host", "template", "seg", names.alias("literal"))
         tree = tree.join(child, ["host", "template", "seg"], "left")
         step = F.when(F.col("seg") == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("literal", F.lit("*"))))
-        tree = tree.withColumn("template", F.concat("template", step)).drop("literal", "seg")
+        # each level reads the last one three times, so its plan is cut; the table has a row per shape, not per page
+        tree = checkpoint(tree.withColumn("template", F.concat("template", step)).drop("literal", "seg"))
     tree = tree.withColumn("template", F.concat("template", F.when(F.size("parts") > depth, "/**").otherwise("")))
     total = shapes.agg((F.sum("bad") / F.greatest(F.sum("known"), F.lit(1))).alias("overall"))
     hosts = shapes.groupBy("host").agg(F.sum("known").alias("hk"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(total))  # one row
