@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,11 +141,13 @@ class Batch:
     @classmethod
     def pack(cls, key, row, doc, start, windows, raw: bytes) -> bytes:
         head = np.array([len(key)], "<u8").tobytes()
-        return head + b"".join(np.asarray(x, dtype=t).tobytes() for x, (_, t) in zip((key, row, doc, start, windows), cls.FIELDS)) + raw
+        body = b"".join(np.asarray(x, dtype=t).tobytes() for x, (_, t) in zip((key, row, doc, start, windows), cls.FIELDS)) + raw
+        return head + zstandard.ZstdCompressor(level=1).compress(body)
 
     @classmethod
     def unpack(cls, raw: bytes):
-        n, at, out = int(np.frombuffer(raw, "<u8", 1)[0]), 8, []
+        n, at, out = int(np.frombuffer(raw, "<u8", 1)[0]), 0, []
+        raw = zstandard.ZstdDecompressor().decompress(raw[8:])
         for _, kind in cls.FIELDS:
             out.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
