@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import ship
 from .vectors import blocks_of, dealt, every, matrix, taking_part
 
-CANDIDATE_ROWS, QUERY_ROWS, SCALE, RESOLUTIONS, CHUNK = 8192, 2048, 64, (4, 16), 64
+CANDIDATE_ROWS, QUERY_ROWS, SCALE, RESOLUTIONS, CHUNK, SPARSE = 8192, 2048, 64, (4, 16), 128, 0.02
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -51,23 +51,32 @@ def search_block(query_ids, queries, ids, rows, k: int):
     out = []
     for j in range(0, len(queries), CHUNK):
         q = slice(j, j + CHUNK)
-        own = query_ids[q][:, None] == ids[None, :]
         bound = coarse[0][q] @ coarse[1].T
         slack = 1e-9 * (1 + np.abs(bound).max(initial=0))
+        own = np.nonzero(query_ids[q][:, None] == ids[None, :])
         bound[own] = -np.inf
         first = min(2 * k, len(ids))
-        seeds = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        products = (queries_x[q][:, None, :] * rows_x[seeds]).sum(axis=2)
-        products = np.where(np.take_along_axis(own, seeds, 1), -np.inf, products.astype(np.float64))
+        seeds = np.argpartition(bound, len(ids) - first, axis=1)[:, -first:]
+        products = (queries_x[q][:, None, :] * rows_x[seeds]).sum(axis=2).astype(np.float64)
+        products[np.take_along_axis(bound, seeds, 1) == -np.inf] = -np.inf
         limit = np.sort(products, axis=1)[:, -k] if first >= k else np.full(len(products), -np.inf)
-        qi, ci = np.nonzero((bound >= limit[:, None] - slack) & ~own)
-        for at in range(0, len(qi), 1 << 18):
-            a, b = qi[at : at + (1 << 18)], ci[at : at + (1 << 18)]
-            reach = np.einsum("ij,ij->i", fine[0][q][a], fine[1][b]) >= limit[a] - slack
-            a, b = a[reach], b[reach]
-            score = (queries_x[q][a] * rows_x[b]).sum(axis=1)
+        alive = bound >= limit[:, None] - slack
+        alive[own] = False
+        # rows that no query of the chunk needs leave; what is left is bounded, then computed, for the chunk at once
+        near = np.flatnonzero(alive.any(axis=0))
+        alive = alive[:, near] & (fine[0][q] @ fine[1][near].T >= limit[:, None] - slack)
+        wanted = alive.any(axis=0)
+        near, alive = near[wanted], alive[:, wanted]
+        if alive.mean() < SPARSE if alive.size else True:
+            a, b = np.nonzero(alive)
+            score = (queries_x[q][a] * rows_x[near[b]]).sum(axis=1)
             good = score >= limit[a]
-            out.append((query_ids[q][a[good]], ids[b[good]], score[good].astype(np.int64)))
+            a, b, score = a[good], b[good], score[good]
+        else:
+            every = queries_x[q] @ rows_x[near].T
+            a, b = np.nonzero(alive & (every >= limit[:, None]))
+            score = every[a, b]
+        out.append((query_ids[q][a], ids[near[b]], score.astype(np.int64)))
     if not out:
         return [np.zeros(0, np.int64)] * 3
     qs, cs, ss = (np.concatenate(x) for x in zip(*out))
