@@ -87,6 +87,45 @@ def best_fit(items: list[int], size: list[int], bins: Bins, room: list[int], cap
             mask |= 1 << left
 
 
+def fill_by_pairs(size: list[int], capacity: int, tries: int = 40) -> Bins:
+    """Each bin opens with the largest document left and takes what fills it best: one document, or two at once.
+
+    The sizes left are one integer's bits, so the largest that fits is the highest bit below the room.
+    """
+    by_size: dict[int, list[int]] = {}
+    for i in sorted(range(len(size)), key=lambda i: -i):
+        by_size.setdefault(size[i], []).append(i)
+    left = sum(1 << s for s in by_size)
+    bins: Bins = []
+
+    def take(s: int) -> int:
+        nonlocal left
+        i = by_size[s].pop()
+        if not by_size[s]:
+            left &= ~(1 << s)
+        return i
+
+    while left:
+        s = left.bit_length() - 1
+        own, room = [take(s)], capacity - s
+        while room and (fits := left & ((2 << room) - 1)):
+            best = [fits.bit_length() - 1]
+            for _ in range(tries):
+                if not fits or sum(best) == room:
+                    break
+                a = fits.bit_length() - 1
+                fits ^= 1 << a
+                rest = left & ((2 << (room - a)) - 1)
+                if len(by_size[a]) < 2:
+                    rest &= ~(1 << a)
+                if rest and a + rest.bit_length() - 1 > sum(best):
+                    best = [a, rest.bit_length() - 1]
+            own += [take(x) for x in best]
+            room -= sum(best)
+        bins.append(own)
+    return bins
+
+
 def fitness(bins: Bins, size: list[int]) -> tuple[int, int]:
     """Fewer bins first, then the larger sum of squared fills."""
     return len(bins), -sum(sum(size[i] for i in b) ** 2 for b in bins)
@@ -139,10 +178,12 @@ def evolve(size: list[int], seeds: list[Bins], seed: int, capacity: int = CAPACI
     """The best packing that an island finds from its seeds and fresh individuals."""
     draw, bound = random.Random(seed), lower_bound(size, capacity)
     order = sorted(range(len(size)), key=lambda i: (-size[i], i))
-    herd = [*seeds]
+    herd = [*seeds, fill_by_pairs(size, capacity)]
+    if len(herd[-1]) <= bound:
+        return herd[-1]
     while len(herd) < population:
         bins: Bins = []
-        noisy = order if not herd else sorted(order, key=lambda i: -size[i] * draw.uniform(0.9, 1.0))
+        noisy = order if len(herd) == len(seeds) + 1 else sorted(order, key=lambda i: -size[i] * draw.uniform(0.9, 1.0))
         best_fit(noisy, size, bins, [], capacity)
         herd.append(bins)
         if len(bins) <= bound:
