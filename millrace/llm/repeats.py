@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import BYTE, MIX_1, MIX_2, chunks, mix, ragged
+from .bytehash import BYTE, MIX_1, chunks, mix, ragged, stretch_hashes
 from .common import partitions, ship
 
 WIDTH, GRAM, KEY_BYTES = 50, 16, 6
@@ -56,9 +56,9 @@ def _windows(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_of(texts: list[bytes], width: int = WIDTH):
-    """Of each chunk of texts: text number, start in the text, number of windows and key of every run; fingerprints too.
+    """Of each chunk of texts: text number, start in the text, number of windows and key of every run.
 
-    Yields (text, start, windows, key, first fingerprint, last fingerprint, bytes of the chunk, place in the chunk).
+    Yields (text, start, windows, key, bytes of the chunk, place in the chunk).
     """
     for i, j in chunks(texts, CHUNK_BYTES):
         data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
@@ -70,13 +70,13 @@ def runs_of(texts: list[bytes], width: int = WIDTH):
         at = ragged(begins, count)  # window starts that stay within a text
         if not len(at):
             continue
-        key, print_ = _windows(data, width)
+        key = _windows(data, width)[0]
         text = np.repeat(np.arange(i, j), count)
         k = key[at]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (text[1:] != text[:-1])))
         n = np.diff(np.append(first, len(at)))
         place = at[first]
-        yield text[first], place - begins[text[first] - i], n, k[first], print_[place], print_[place + n - 1], data, place
+        yield text[first], place - begins[text[first] - i], n, k[first], data, place
 
 
 def _top(keys: np.ndarray) -> np.ndarray:
@@ -207,9 +207,10 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
         if not len(common) or not ids:
             return pa.table({n: pa.array([], t) for n, t in names.items()})
         doc_ids, got, raws = np.array(ids, np.int64), [], []
-        for text, start, n, k, head, tail, data, place in runs_of(texts, width):
+        for text, start, n, k, data, place in runs_of(texts, width):
             hit = np.flatnonzero(_within(common, _top(k)))
-            got.append((text[hit], start[hit], n[hit], k[hit], mix(head[hit] * MIX_2 + tail[hit] + n[hit].astype(np.uint64) * MIX_1)))
+            whole = stretch_hashes(data, place[hit], place[hit] + n[hit] + width - 1)  # a run may be longer than its first and last strings
+            got.append((text[hit], start[hit], n[hit], k[hit], whole))
             raws.append((data, place[hit], n[hit] + width - 1))
         text, start, n, k, alike = (np.concatenate(x) for x in zip(*got))
         source = np.repeat(np.arange(len(raws)), [len(x[1]) for x in raws])

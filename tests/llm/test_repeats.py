@@ -59,6 +59,17 @@ def test_awkward_rows(spark):
     assert result(df.limit(0)) == []
 
 
+def test_long_runs_that_differ_in_the_middle(spark):
+    cells = [c * 2 + " " for c in "0-=|"] + ["0 ", "- ", "_", "|  |", "spam "]
+    rows = []
+    for cell in cells:
+        rows += [(len(rows) + k, cell * (180 // len(cell)) + c + cell * (180 // len(cell))) for k, c in enumerate("123456789abc")]
+    df = spark.createDataFrame([(*r, "b", "n") for r in rows], SCHEMA)
+    want = sorted(brute(rows), key=str)
+    assert result(df) == want
+    assert result(df, block_bytes=1000, bucket_bytes=2000) == want
+
+
 def test_kept_text(spark):
     same = "the quick brown fox jumps over the lazy dog, again and again and again"
     df = spark.createDataFrame([(1, same + " one", "", ""), (2, "two " + same, "", "")], SCHEMA)
