@@ -7,7 +7,8 @@ of a neighbour at distance d is d^2 times a chi-square variable of m degrees. So
 in ascending order, leaf by leaf, verifies them on the original vectors, and stops when the next one's projected
 squared distance is beyond d_k^2 times the `confidence` quantile: each neighbour nearer than d_k would have come
 before with that probability. Regions that the test already rules out by the k-th distance to the sample, an upper
-bound of d_k, are never visited.
+bound of d_k, are never visited. Projections of equal vectors differ in the last bits between matrix products of
+different shape, so each test allows for rounding: at distance 0 copies still pass.
 
 Rows that take part: see vectors.taking_part (null, zero, ragged and non-finite vectors do not). Repeated rows count
 once; ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
@@ -26,6 +27,7 @@ from .common import ship
 from .vectors import blocks_of, dealt, every, matrix, taking_part
 
 DIMENSIONS, CONFIDENCE, SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS, LEAF_ROWS, SEED = 8, 0.97, 4096, 8192, 4096, 64, 11
+ROUNDING = 1e-9  # of the squared norm of a query's projection
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -116,16 +118,17 @@ def search_group(query_ids, queries, bounds, ids, vectors, gaussian, k: int, qua
     low = np.array([points[r].min(axis=0) for r in leaves])
     high = np.array([points[r].max(axis=0) for r in leaves])
     own = queries @ gaussian
-    for q, vec, bound, p in zip(query_ids, queries, bounds, own):
+    slacks = ROUNDING * (own**2).sum(axis=1)
+    for q, vec, bound, p, slack in zip(query_ids, queries, bounds, own, slacks):
         gap = np.maximum(np.maximum(low - p, p - high), 0)
         near = (gap**2).sum(axis=1)
         limit = bound
         kept_d, kept_i = np.zeros(0), np.zeros(0, np.int64)
         for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] > limit * limit * quantile:
+            if near[leaf] > limit * limit * quantile + slack:
                 break  # the chi-square test holds for all that is left
             rows = leaves[leaf]
-            rows = rows[((points[rows] - p) ** 2).sum(axis=1) <= limit * limit * quantile]
+            rows = rows[((points[rows] - p) ** 2).sum(axis=1) <= limit * limit * quantile + slack]
             rows = rows[ids[rows] != q]
             if not len(rows):
                 continue
@@ -175,7 +178,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
                 d = np.sqrt(((sample - vec[i]) ** 2).sum(axis=1))[sample_ids != ids[i]]
                 if len(d) >= k:
                     bounds[i] = np.partition(d, k - 1)[k - 1]
-            near = regions.squared_distance(vec @ gaussian) <= (bounds**2 * quantile)[:, None]
+            points = vec @ gaussian
+            near = regions.squared_distance(points) <= (bounds**2 * quantile + ROUNDING * (points**2).sum(axis=1))[:, None]
             at, region = np.nonzero(near)
             copies = np.array([parts.get(int(r), 0) for r in region], dtype=np.int64)
             part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)

@@ -39,6 +39,20 @@ def test_recall_of_nearest(spark, group_rows, query_rows):
     assert all(s == pytest.approx(exact[q, i], rel=1e-14) for q, v in got.items() for i, s in v)
 
 
+@pytest.mark.parametrize("group_rows,query_rows", [(8192, 4096), (8192, 3), (64, 1)])
+def test_nearest_among_copies(spark, group_rows, query_rows):
+    draw = np.random.default_rng(5).standard_normal((480, 64)).astype(np.float32)
+    draw[::3] = draw[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw)], "vec_id long, embedding array<float>")
+    want = brute(df, 20, 10, euclid)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, group_rows=group_rows, query_rows=query_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == want.keys() and all(len(x) == 10 for x in got.values())
+    assert all(got[q] == want[q] for q in want if q % 60 == 0)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 9 * len(want)
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert ann.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
