@@ -118,18 +118,18 @@ def decode_groups(state: np.ndarray, words: list[np.ndarray], n: int, table: Tab
     return out
 
 
-def encode_stream(data: np.ndarray) -> tuple[np.ndarray, bytes]:
+def encode_stream(data: np.ndarray, freq: np.ndarray | None = None) -> tuple[np.ndarray, bytes]:
     """Frequencies (256, summing to 2048) and the coded stream of bytes whose number is a multiple of 8192.
 
-    End offsets of the groups, counted from the stream's start; then of each group its words, two zero bytes before
+    The frequencies are those of the data unless they are given, as for a piece of a longer stream. End offsets of the groups, counted from the stream's start; then of each group its words, two zero bytes before
     them where that aligns the states, and the 32 states.
     """
     if len(data) % GROUP:
         raise ValueError(f"length {len(data)} is no multiple of {GROUP}")
-    counts = np.bincount(data, minlength=256)
     if not len(data):
         return np.zeros(256, np.int64), b""
-    freq = apportion_array(counts, TOTAL)
+    if freq is None:
+        freq = apportion_array(np.bincount(data, minlength=256), TOTAL)
     state, words = encode_groups(data.reshape(-1, LANES, LANE_SYMBOLS).astype(np.int64), Table(freq))
     parts = [(b"\0\0" if len(w) % 2 else b"") + w.astype("<u2").tobytes() + s.astype("<u4").tobytes() for w, s in zip(words, state)]
     ends = 4 * len(parts) + np.cumsum([len(p) for p in parts])

@@ -581,20 +581,68 @@ def kmeans_fixed(spark, sf):
 # -- sequential coders: rows-only, with a column that says whether the data came back -----------------------------------
 
 
-def _streams(spark, sf, n: int):
-    """stream, data: the first bytes of the symbols of each source, padded to n; a fold per stream."""
-    docs = C.table(spark, sf, "documents").groupBy("source").agg(F.min_by(F.encode("text", "UTF-8"), "doc_id").alias("data"))
-    return docs.select(F.col("source").alias("stream"), F.rpad("data", n, F.lit(b"\0")).alias("data"))
+PIECE = 256 * entropy.GROUP  # bytes that are coded at once
 
 
-def _per_stream(f, schema):
+def _by_stream(b: pa.RecordBatch):
+    """Row numbers of each stream in a batch."""
+    codes = pa.array(b["stream"]).dictionary_encode(null_encoding="encode")
+    number = codes.indices.to_numpy()
+    for k, stream in enumerate(codes.dictionary.to_pylist()):
+        yield stream, np.flatnonzero(number == k)
+
+
+def _grouped(texts: list[bytes | None]) -> np.ndarray:
+    """The texts one after another, each padded to whole groups."""
+    return np.frombuffer(b"".join(t + b"\0" * (-len(t) % entropy.GROUP) for t in texts if t), np.uint8)
+
+
+def _streams(spark, sf):
+    """stream, data, freq: every document's bytes under its source, with the source's frequencies (256 words of 16 bits)."""
+    docs = C.table(spark, sf, "documents").select(F.col("source").alias("stream"), F.encode("text", "UTF-8").alias("data"))
+
+    def count(batches):
+        for b in batches:
+            for stream, rows in _by_stream(b):
+                data, counts = _grouped(b["data"].take(pa.array(rows)).to_pylist()), np.zeros(256, np.int64)
+                for i in range(0, len(data), PIECE):
+                    counts += np.bincount(data[i : i + PIECE], minlength=256)
+                yield pa.RecordBatch.from_arrays([pa.array([stream] * 256, pa.string()), pa.array(range(256), pa.int32()), pa.array(counts, pa.int64())], ["stream", "sym", "cnt"])
+
+    def apportion(key, t):
+        counts = np.zeros(256, np.int64)
+        counts[t["sym"].to_numpy()] = t["cnt"].to_numpy()
+        freq = frequency.apportion_array(counts, entropy.TOTAL) if counts.any() else counts
+        return pa.table({"name": pa.array([key[0].as_py()], pa.string()), "freq": pa.array([freq.astype("<u2").tobytes()], pa.binary())})
+
+    counts = docs.mapInArrow(count, "stream string, sym int, cnt long").groupBy("stream", "sym").agg(F.sum("cnt").alias("cnt"))
+    freq = counts.groupBy("stream").applyInArrow(apportion, "name string, freq binary")
+    return docs.join(F.broadcast(freq), docs["stream"].eqNullSafe(freq["name"])).select("stream", "data", "freq")
+
+
+def _per_stream(f, names: list[str]):
+    """Sums of what f gives for every piece of a stream: stream, n (bytes of the texts), the named sizes, ok."""
+
     def run(batches):
         for b in batches:
-            rows = [f(s, np.frombuffer(d, np.uint8)) for s, d in zip(b["stream"].to_pylist(), b["data"].to_pylist())]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for stream, rows in _by_stream(b):
+                texts = b["data"].take(pa.array(rows)).to_pylist()
+                data, freq = _grouped(texts), np.frombuffer(b["freq"][int(rows[0])].as_py(), "<u2").astype(np.int64)
+                sums, ok = np.zeros(len(names), np.int64), True
+                for i in range(0, len(data), PIECE):
+                    *sizes, whole = f(data[i : i + PIECE], freq)
+                    sums += sizes
+                    ok &= whole
+                yield pa.RecordBatch.from_pylist([{"stream": stream, "n": sum(len(t or b"") for t in texts), **dict(zip(names, sums.tolist())), "ok": ok}], schema=schema)
+
+    schema = pa.schema([("stream", pa.string()), ("n", pa.int64()), *((x, pa.int64()) for x in names), ("ok", pa.bool_())])
+    columns = ", ".join(f"{x} long" for x in ("n", *names))
+
+    def add(streams: DataFrame) -> DataFrame:
+        rows = streams.mapInArrow(run, f"stream string, {columns}, ok boolean")
+        return rows.groupBy("stream").agg(*(F.sum(x).alias(x) for x in ("n", *names)), F.bool_and("ok").alias("ok"))
 
-    return run
+    return add
 
 
 LANE = "q as (select user_id, v % 4 as s, row_number() over (partition by user_id order by ts, event_id) as i from seqs), c as (select user_id, i, [1024, 512, 256, 256][s + 1]::bigint as f, [0, 1024, 1536, 1792][s + 1]::bigint as b from q), z as (select user_id, 0::bigint as i, 32768::bigint as state, 0::bigint as words, 0::bigint as added from c group by user_id union all select c.user_id, c.i, (case when z.state >= c.f * 1048576 then z.state >> 16 else z.state end) // c.f * 2048 + c.b + (case when z.state >= c.f * 1048576 then z.state >> 16 else z.state end) % c.f, z.words + (z.state >= c.f * 1048576)::bigint, z.added + case when z.state >= c.f * 1048576 then z.state & 65535 else 0 end from z join c on c.user_id = z.user_id and c.i = z.i + 1)"
@@ -613,29 +661,30 @@ ORACLE["rans_encode_lane"] = "with recursive " + C.SQL["seqs"] + ", " + LANE + "
 
 @query()
 def rans_group_encode(spark, sf):
-    """Every source's stream through the interleaved coder and back: sizes and whether it is whole."""
+    """Every source's documents through the interleaved coder and back: sizes and whether all is whole.
+
+    A document is coded in groups of 8,192 bytes, the last one padded, by the frequencies of its whole source.
+    """
 
-    def f(stream, data):
-        freq, raw = entropy.encode_stream(data)
-        return {"stream": stream, "n": len(data), "coded": len(raw), "ok": bool((entropy.decode_stream(freq, raw, len(data)) == data).all())}
+    def f(data, freq):
+        raw = entropy.encode_stream(data, freq)[1]
+        return len(raw), bool((entropy.decode_stream(freq, raw, len(data)) == data).all())
 
-    schema = pa.schema([("stream", pa.string()), ("n", pa.int64()), ("coded", pa.int64()), ("ok", pa.bool_())])
-    return _streams(spark, sf, entropy.GROUP).mapInArrow(_per_stream(f, schema), "stream string, n long, coded long, ok boolean")
+    return _per_stream(f, ["coded"])(_streams(spark, sf))
 
 
 @query()
 def tans_roundtrip(spark, sf):
-    def f(stream, data):
-        from ..operators.frequency import apportion_array
+    """The same by the tabled coder: the number of its words."""
 
-        table = entropy.Table(apportion_array(np.bincount(data, minlength=256)), ranges=False)
-        symbols = data.reshape(1, entropy.LANES, -1).astype(np.int64)
+    def f(data, freq):
+        table = entropy.Table(freq, ranges=False)
+        symbols = data.reshape(-1, entropy.LANES, entropy.LANE_SYMBOLS).astype(np.int64)
         state, words = entropy.encode_groups(symbols, table)
-        back = entropy.decode_groups(state, words, symbols.shape[2], table)
-        return {"stream": stream, "words": len(words[0]), "ok": bool((back == symbols).all())}
+        back = entropy.decode_groups(state, words, entropy.LANE_SYMBOLS, table)
+        return sum(map(len, words)), bool((back == symbols).all())
 
-    schema = pa.schema([("stream", pa.string()), ("words", pa.int64()), ("ok", pa.bool_())])
-    return _streams(spark, sf, entropy.GROUP).mapInArrow(_per_stream(f, schema), "stream string, words long, ok boolean")
+    return _per_stream(f, ["words"])(_streams(spark, sf))
 
 
 @query("seqs", "select user_id, count(*) as n, count(*) filter (where abs(delta - 128) > 127) as aside, true as ok from (select *, v - lag(v, 1, 0) over (partition by user_id order by ts, event_id) + 128 as delta from seqs) group by user_id")

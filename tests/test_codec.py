@@ -104,6 +104,27 @@ def test_stream_layout():
     assert entropy.decode_shorts(*entropy.encode_shorts(values)).tolist() == values.tolist()
 
 
+@pytest.mark.parametrize("name,size", [("rans_group_encode", "coded"), ("tans_roundtrip", "words")])
+def test_coders_take_every_document(spark, tmp_path, name, size):
+    from millrace.plans import registry
+
+    draw = np.random.default_rng(6)
+    text = lambda n: "".join(draw.choice(list("abcdé \n"), n))
+    rows = [(1, text(20000), "s"), (2, text(5), "s"), (2, text(9000), "s"), (3, "", "s"), (4, None, "s"), (5, text(8192), "t"), (6, None, "u"), (7, text(10), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stream: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {s: [(t or "").encode() for _, t, x in rows if x == s] for s in ("s", "t", "u", None)}
+    assert {s: r.n for s, r in got.items()} == {s: sum(map(len, t)) for s, t in want.items()} and all(r.ok for r in got.values())
+    for s, texts in want.items():
+        data = np.frombuffer(b"".join(t.ljust(-(-len(t) // entropy.GROUP) * entropy.GROUP, b"\0") for t in texts), np.uint8)
+        if name == "rans_group_encode":
+            assert got[s][size] == len(entropy.encode_stream(data)[1])
+        elif len(data):
+            table = entropy.Table(frequency.apportion_array(np.bincount(data, minlength=256)), ranges=False)
+            assert got[s][size] == sum(map(len, entropy.encode_groups(data.reshape(-1, entropy.LANES, 256).astype(np.int64), table)[1]))
+
+
 def test_blocks():
     draw = np.random.default_rng(2)
     px = np.clip(draw.integers(0, 256, (300, 1, 3)) + draw.integers(-20, 20, (300, 16, 3)), 0, 255)
