@@ -9,6 +9,7 @@ import numpy as np
 
 FLIP = 0x55555555
 LOOKBACK, ERROR_LIMIT = 127, 35
+NO_WORD = np.iinfo(np.int64).max
 #: A selector's place between the endpoints.
 ORDER = np.array([0, 3, 1, 2])
 E5 = np.array([(i << 3) | (i >> 2) for i in range(32)])
@@ -233,3 +234,46 @@ def reassign(px: np.ndarray, ep1: np.ndarray, ep2: np.ndarray, word: np.ndarray,
         if cost[best] < limit:
             ep1[i], ep2[i], word[i] = truncate565(a[best]), truncate565(b[best]), candidates[best]
     return ep1, ep2, word
+
+
+def best_words(px: np.ndarray, ep1: np.ndarray, ep2: np.ndarray, word: np.ndarray, candidates: np.ndarray, uses: np.ndarray, limit: float, step: int = 64):
+    """Of each block the candidate, not its own word, that adds the least error below the limit; also its added error and uses.
+
+    Returns endpoints, words, added errors and uses; a block that none suits keeps its own at NO_WORD. Of equal errors
+    the most used word wins, then the smallest. No candidate is left out: they are refitted in ascending order of what
+    least squares with endpoints of any precision would leave, until that alone is above the best found. The rounding
+    of the 48 bytes between the endpoints takes off less than sqrt(48) of a residual's length.
+    """
+    ep1, ep2, out = (np.array(x, dtype=np.int64) for x in (ep1, ep2, word))
+    cost, used = np.full(len(px), NO_WORD), np.zeros(len(px), np.int64)
+    order = np.lexsort((candidates, -uses))
+    candidates, uses, sel = candidates[order], uses[order], selectors_of(candidates[order])
+    solvable = (sel != sel[:, :1]).any(axis=1)
+    candidates, uses, sel = candidates[solvable], uses[solvable], sel[solvable]
+    if not len(candidates):
+        return ep1, ep2, out, cost, used
+    share = ORDER[sel] / 3
+    basis = np.linalg.qr(np.stack([1 - share, share], axis=2))[0].transpose(2, 1, 0)  # (2, 16, words)
+    plain = block_error(px, decode(ep1, ep2, word))
+    for i in range(len(px)):
+        y = px[i].T.astype(np.float64)
+        rest = (y * y).sum() - ((y @ basis) ** 2).sum(axis=(0, 1))
+        least = np.maximum(np.sqrt(np.maximum(rest, 0)) - 7, 0) ** 2 / 48 - 1 - plain[i]
+        todo = np.flatnonzero((least < limit) & (candidates != word[i]))
+        todo = todo[np.argsort(least[todo], kind="stable")]
+        found = (NO_WORD, 0)
+        for j in range(0, len(todo), step):
+            if least[todo[j]] > found[0]:
+                break
+            some = todo[j : j + step]
+            a, b, good = refit(px[i], sel[some])
+            good &= truncate565(a) > truncate565(b)
+            colours = np.stack([a, b, (2 * a + b) // 3, (a + 2 * b) // 3], axis=1)
+            added = block_error(px[i][None], np.take_along_axis(colours, sel[some][..., None], axis=1)) - plain[i]
+            added = np.where(good & (added < limit), added, NO_WORD)
+            best = int(np.lexsort((some, added))[0])  # candidates lie in order of use
+            if added[best] < NO_WORD and (int(added[best]), int(some[best])) < found:
+                found = (int(added[best]), int(some[best]))
+                ep1[i], ep2[i], out[i] = truncate565(a[best]), truncate565(b[best]), candidates[some[best]]
+                cost[i], used[i] = added[best], uses[some[best]]
+    return ep1, ep2, out, cost, used

@@ -768,20 +768,41 @@ def dict_pass(spark, sf):
     return rows.groupBy("image").applyInArrow(f, "block int, ep1 long, ep2 long, sel long, delta long, words long")
 
 
+WORD_GROUP = 2048
+
+
 @query()
 def reassign_selectors(spark, sf):
-    """Blocks moved to the most used selector words where that adds little error; the words are 16 at most."""
-    coded = compress_dxt(spark, sf)
-    words = [r.sel for r in neighbours.most_used(coded, "sel", 16).collect()]
+    """Blocks moved to the selector word of other blocks that adds the least error, if that is little.
 
-    def run(batches):
+    Every word that occurs is offered to every block: blocks and words meet in groups of about WORD_GROUP each,
+    so the pairs grow with the square of the raster.
+    """
+
+    def code(batches):
         for b in batches:
             px = np.array(b["px"].to_pylist(), dtype=np.int64).reshape(-1, 16, 3)
-            old = blocks.compress(px)
-            ep1, ep2, word = blocks.reassign(px, *old, np.array(words), 400.0) if len(px) else old
-            yield pa.RecordBatch.from_arrays([b["block"], *(pa.array(x, pa.int64()) for x in (ep1, ep2, word, old[2]))], ["block", "ep1", "ep2", "sel", "old"])
-
-    return _block_table(spark, sf).mapInArrow(run, "block int, ep1 long, ep2 long, sel long, old long")
+            raw = pa.array([x.tobytes() for x in px.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["block"], raw, *(pa.array(x, pa.int64()) for x in blocks.compress(px))], ["block", "px", "ep1", "ep2", "old"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        px = np.frombuffer(b"".join(left["px"].to_pylist()), np.uint8).reshape(-1, 16, 3).astype(np.int64)
+        old = [left[c].to_numpy() for c in ("ep1", "ep2", "old")]
+        ep1, ep2, word, cost, uses = blocks.best_words(px, *old, right["word"].to_numpy(), right["uses"].to_numpy(), 400.0)
+        values = [pa.array(x, pa.int64()) for x in (cost, -uses, word, ep1, ep2, old[2])]
+        return pa.table([left["block"], *values], names=["block", "cost", "rank", "sel", "ep1", "ep2", "old"])
+
+    coded = _block_table(spark, sf).mapInArrow(code, "block int, px binary, ep1 long, ep2 long, old long")
+    n_blocks, n_words = coded.agg(F.count("*"), F.countDistinct("old")).first()
+    sides = [max(1, -(-n // WORD_GROUP)) for n in (n_blocks, n_words)]
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = coded.withColumn("b", dealt("block", sides[0])).withColumn("w", copies(sides[1]))
+    words = coded.groupBy(F.col("old").alias("word")).agg(F.count("*").alias("uses"))
+    right = words.withColumn("w", dealt("word", sides[1])).withColumn("b", copies(sides[0]))
+    met = left.groupBy("b", "w").cogroup(right.groupBy("b", "w")).applyInArrow(meet, "block int, cost long, rank long, sel long, ep1 long, ep2 long, old long")
+    best = met.groupBy("block").agg(F.min(F.struct("cost", "rank", "sel", "ep1", "ep2", "old")).alias("m"))
+    return best.select("block", "m.ep1", "m.ep2", "m.sel", "m.old")
 
 
 @query()

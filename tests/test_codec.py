@@ -216,3 +216,35 @@ def test_reassign_takes_cheap_candidates():
     ep1, ep2, word = blocks.compress(px)
     assert (blocks.reassign(px, ep1, ep2, word, word[:1], 50)[2] == word[0]).all()
     assert (blocks.reassign(px, ep1, ep2, word, np.array([0]), 1e9)[2] == word).all()
+
+
+def test_reassign_offers_every_word(spark, monkeypatch):
+    from millrace.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted((r.block, r.ep1, r.ep2, r.sel) for r in registry.compress_dxt(spark, sf).collect())
+    px = {r.block: np.array(r.px).reshape(1, 16, 3) for r in registry._block_table(spark, sf).collect()}
+    words = sorted({w for *_, w in want}, key=lambda w: (-sum(x == w for *_, x in want), w))
+    brute = {b: tuple(int(x[0]) for x in blocks.reassign(px[b], *(np.array([x]) for x in (e1, e2, w)), np.array([x for x in words if x != w]), 400.0)) for b, e1, e2, w in want}
+    for size in (2048, 16):
+        monkeypatch.setattr(registry, "WORD_GROUP", size)
+        got = registry.reassign_selectors(spark, sf).collect()
+        assert {r.block: (r.ep1, r.ep2, r.sel) for r in got} == brute
+        assert {r.block: r.old for r in got} == {b: w for b, _, _, w in want}
+    assert len(words) > 16
+
+
+def test_best_words_equal_a_full_search():
+    draw = np.random.default_rng(8)
+    px = np.clip(draw.integers(0, 256, (60, 1, 3)) + draw.integers(0, 2, (60, 16, 1)) * draw.integers(0, 90, (60, 1, 3)) + draw.integers(-9, 9, (60, 16, 3)), 0, 255)
+    old = blocks.compress(px)
+    words, uses = np.unique(np.concatenate([old[2], old[2][:20]]), return_counts=True)
+    got = blocks.best_words(px, *old, words, uses, 400.0, step=3)
+    moved = 0
+    for i in range(60):
+        order = np.lexsort((words, -uses))
+        order = order[words[order] != old[2][i]]
+        one = blocks.reassign(px[i : i + 1], *(x[i : i + 1] for x in old), words[order], 400.0)
+        assert [int(x[i]) for x in got[:3]] == [int(x[0]) for x in one]
+        moved += got[2][i] != old[2][i]
+    assert moved > 10
