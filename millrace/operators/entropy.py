@@ -148,9 +148,9 @@ def decode_stream(freq: np.ndarray, raw: bytes, length: int) -> np.ndarray:
 
 
 def encode_shorts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte for each 16-bit value; those beyond -127..127 become the escape 128 and go aside, in order."""
-    wide = np.abs(values) > 127
-    return np.where(wide, 128, values & 255).astype(np.uint8), values[wide].astype("<i2")
+    """A byte for each 64-bit value; those beyond -127..127 become the escape 128 and go aside whole, in order."""
+    wide = (values > 127) | (values < -127)
+    return np.where(wide, 128, values & 255).astype(np.uint8), values[wide].astype("<i8")
 
 
 def decode_shorts(symbols: np.ndarray, aside: np.ndarray) -> np.ndarray:

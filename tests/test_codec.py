@@ -125,6 +125,18 @@ def test_coders_take_every_document(spark, tmp_path, name, size):
             assert got[s][size] == sum(map(len, entropy.encode_groups(data.reshape(-1, entropy.LANES, 256).astype(np.int64), table)[1]))
 
 
+def test_short_coder_keeps_wide_values(spark):
+    from compare import differences
+
+    from millrace.plans import registry
+
+    values = np.array([5, 32768, -32769, 70000, -(10**12), 2**63 - 1, -(2**63)])
+    assert entropy.decode_shorts(*entropy.encode_shorts(values)).tolist() == values.tolist()
+    sf = "/root/testdata/sf0.01"  # ten deltas beyond 16 bits
+    assert registry.delta_encode(spark, sf).where("abs(delta - 128) > 32767").count() > 0
+    assert differences(registry.short_coder_roundtrip(spark, sf), sf, registry.ORACLE["short_coder_roundtrip"]) == []
+
+
 def test_blocks():
     draw = np.random.default_rng(2)
     px = np.clip(draw.integers(0, 256, (300, 1, 3)) + draw.integers(-20, 20, (300, 16, 3)), 0, 255)
