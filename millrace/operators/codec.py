@@ -22,6 +22,12 @@ from .entropy import GROUP, decode_stream, encode_stream
 TILE, HEADER, TABLE_BYTES, BIAS = 32, 28, 512, 128
 FIELDS = ("width", "height", "palette_bytes", "luma_size", "chroma_size", "palette_size", "delta_size")
 
+RADII = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+
+
+class Unfit(ValueError):
+    """An image that the 8-bit container cannot hold."""
+
 
 def blocks_of(rgb: np.ndarray) -> np.ndarray:
     """(height, width, 3) to (blocks, 16, 3) in raster order of the blocks."""
@@ -53,7 +59,7 @@ def coefficient_bytes(plane: np.ndarray) -> np.ndarray:
     tiles = plane.reshape(h // TILE, TILE, w // TILE, TILE).transpose(0, 2, 1, 3).reshape(-1, TILE, TILE)
     out = forward_tiles(tiles) + BIAS
     if out.min() < 0 or out.max() > 255:
-        raise ValueError("a wavelet coefficient does not fit a byte; only smooth images go into the 8-bit container")
+        raise Unfit("a wavelet coefficient does not fit a byte; only smooth images go into the 8-bit container")
     return out.astype(np.uint8).reshape(-1)
 
 
@@ -71,6 +77,29 @@ def encode_image(rgb: np.ndarray) -> bytes:
     return encode_blocks(w, h, ep1, ep2, known, number)
 
 
+def smoothed(rgb: np.ndarray, radius: int) -> np.ndarray:
+    """Rounded means over squares of 2 * radius + 1 pixels; the image wraps round at its sides."""
+    size = 2 * radius + 1
+    for axis in (0, 1):
+        n = rgb.shape[axis]
+        sums = np.cumsum(np.take(rgb, np.arange(-radius - 1, n + radius) % n, axis=axis), axis=axis)
+        rgb = (np.take(sums, np.arange(size, n + size), axis=axis) - np.take(sums, np.arange(n), axis=axis) + size // 2) // size
+    return rgb
+
+
+def encode_fitting(rgb: np.ndarray):
+    """Radius, pixel blocks, ep1, ep2, words, numbers and container: the image itself, smoothed only if it is refused."""
+    h, w, _ = rgb.shape
+    for radius in RADII:
+        px = blocks_of(smoothed(rgb.astype(np.int64), radius) if radius else rgb.astype(np.int64))
+        coded = B.dictionary_pass(px, *B.compress(px))
+        try:
+            return radius, px, *coded, encode_blocks(w, h, *coded)
+        except Unfit:
+            if radius == RADII[-1]:
+                raise
+
+
 def encode_blocks(w: int, h: int, ep1: np.ndarray, ep2: np.ndarray, known: np.ndarray, number: np.ndarray) -> bytes:
     shape = (h // 4, w // 4)
     one, two = planes_of(ep1.reshape(shape)), planes_of(ep2.reshape(shape))

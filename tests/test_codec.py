@@ -260,3 +260,31 @@ def test_best_words_equal_a_full_search():
         assert [int(x[i]) for x in got[:3]] == [int(x[0]) for x in one]
         moved += got[2][i] != old[2][i]
     assert moved > 10
+
+
+def test_containers_and_headers_take_every_event(spark, tmp_path):
+    from millrace.plans import registry
+
+    n, area = 270000, 512 * 512
+    df = spark.range(n).selectExpr("id as event_id", "id % 7 as user_id", "cast(id * 37 % 9001 as double) / 100 as value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.image_id: r for r in registry.container_roundtrip(spark, str(tmp_path)).collect()}
+    assert {i: r.pixels for i, r in got.items()} == {"0": area, "1": n - area} and all(r.ok for r in got.values())
+    heads = {r.image_id: r for r in registry.container_header(spark, str(tmp_path)).collect()}
+    assert {i: (r.width, r.height) for i, r in heads.items()} == {"0": (512, 512), "1": (512, 512)}
+    for i, h in heads.items():
+        assert got[i].bytes == codec.HEADER + 4 * codec.TABLE_BYTES + h.luma_size + h.chroma_size + h.palette_size + h.delta_size
+    textures_ = registry.texture_headers(spark, str(tmp_path))
+    assert textures_.count() == 3 * n and textures_.where("level = 0").agg(F.max("width")).first()[0] == n + 3
+
+
+def test_images_that_do_not_fit_are_smoothed():
+    draw = np.random.default_rng(9)
+    rgb = np.repeat(np.repeat(draw.integers(0, 2, (128, 128, 3)) * 255, 4, axis=0), 4, axis=1)
+    with pytest.raises(codec.Unfit):
+        codec.encode_image(rgb)
+    radius, px, ep1, ep2, known, number, raw = codec.encode_fitting(rgb)
+    assert radius > 0 and (px == codec.blocks_of(codec.smoothed(rgb, radius))).all()
+    assert all((a == b).all() for a, b in zip(codec.decode_blocks(raw)[2:], (ep1, ep2, known[number])))
+    one = codec.smoothed(rgb, 1)
+    assert one[5, 9].tolist() == ((rgb[4:7, 8:11].sum(axis=(0, 1)) + 4) // 9).tolist() or np.abs(one[5, 9] - rgb[4:7, 8:11].mean(axis=(0, 1))).max() <= 1
