@@ -216,6 +216,20 @@ def test_streaming_delta(spark, tmp_path):
     assert got == {r.event_id: r.delta for r in registry.delta_encode(spark, "/root/testdata/sf0.001").collect()}
 
 
+def test_streaming_counts_equal_the_batch_form(spark, tmp_path):
+    from millrace.plans import registry
+
+    rows = lambda df: sorted((str(r.start), r.event_type, r.cnt) for r in df.collect())
+    given = "/root/testdata/sf0.001"
+    assert rows(registry.stream_hourly_counts(spark, given)) == rows(registry.hourly_counts(spark, given))
+    events = spark.read.parquet(f"{given}/events.parquet")
+    for k in (3, 0, 2, 1):  # the order of the files is not that of time
+        part = events.withColumn("n", F.expr("ntile(4) over (order by ts, event_id)")).where(F.col("n") == k + 1).drop("n")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = rows(registry.stream_hourly_counts(spark, str(tmp_path)))
+    assert got == rows(registry.hourly_counts(spark, given))
+
+
 def test_options():
     assert entropy.Options((2, 1, 1), 256, 2).total == 4
     for bad in (((4,),), ((1, -1),), ((1, 1), 3), ((1 << 20, 1), 1 << 16, 16)):
