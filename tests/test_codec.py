@@ -302,3 +302,17 @@ def test_images_that_do_not_fit_are_smoothed():
     assert all((a == b).all() for a, b in zip(codec.decode_blocks(raw)[2:], (ep1, ep2, known[number])))
     one = codec.smoothed(rgb, 1)
     assert one[5, 9].tolist() == ((rgb[4:7, 8:11].sum(axis=(0, 1)) + 4) // 9).tolist() or np.abs(one[5, 9] - rgb[4:7, 8:11].mean(axis=(0, 1))).max() <= 1
+
+
+def test_recall_of_knn_lsh(spark):
+    from millrace.plans import carriers, registry
+
+    sf = "/root/testdata/sf0.01"
+    points = carriers.points(spark, sf)
+    want, got = {}, {}
+    for r in neighbours.nearest(points.where("id % 20 = 0"), points, k=5).collect():
+        want.setdefault(r.query_id, set()).add(r.id)
+    for r in registry.knn_lsh(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.95 * 5 * len(want)
