@@ -28,7 +28,8 @@ KINDS = (*BASE_KINDS, "checked")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+HEX_BYTES = re.compile(rb"[0-9a-f]+")
+NOT_HEX_BACK = re.compile(rb"[^0-9a-f]")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -61,22 +62,25 @@ def checksum_holds(body: str, tail: str) -> bool:
 
 
 def _hex_spans(text: str, raw: bytes) -> Iterator[Span]:
+    """Runs are found among the bytes; only code points before a span that is kept are counted, each once."""
     probe = _IS_HEX[np.frombuffer(raw, dtype=np.uint8)[::STRIDE]]
     if len(probe) < 4:
         return
     near = np.flatnonzero(probe[:-3] & probe[1:-2] & probe[2:-1] & probe[3:])
-    same, end = len(raw) == len(text), 0
+    same, end, counted, points = len(raw) == len(text), 0, 0, 0
     for at in (near * STRIDE).tolist():
-        at = at if same else len(raw[:at].decode(errors="ignore"))
         if at < end:
             continue
-        start = at
-        while start and text[start - 1] in "0123456789abcdef":
-            start -= 1
-        if m := HEX.match(text, start):
-            end = m.end()
-            if end - start >= LEAST["hex"]:
+        back = NOT_HEX_BACK.search(raw[max(0, at - STRIDE) : at][::-1])
+        start = at - (back.start() if back else min(at, STRIDE))
+        end = HEX_BYTES.match(raw, at).end()
+        if end - start >= LEAST["hex"]:
+            if same:
                 yield start, KINDS.index("hex"), end
+            else:
+                points += len(raw[counted:start].decode())
+                counted = start
+                yield points, KINDS.index("hex"), points + end - start
 
 
 def find_spans(text: str | None) -> list[Span]:

@@ -1,9 +1,10 @@
 """Byte-level BPE ids of whole texts by the tokenizers library, each distinct piece of text encoded once per worker.
 
 The vocabulary's pattern starts a new token wherever a run of letters (with one white-space character before it)
-begins or ends, whatever lies on the other side. Texts are cut there, vectorised; the pieces' 64-bit hashes are
-looked up in a bounded table of ids, and the library encodes the pieces that the table lacks. Texts with letters
-beyond Latin, or with an apostrophe next to other signs, could be cut within a token: the library gets them whole.
+begins or ends, whatever lies on the other side. Texts are cut there, vectorised; the pieces are looked up by a 64-bit
+hash in a bounded table of ids, which counts as a hit only where all bytes are equal, and the library encodes the
+pieces that the table lacks. Texts with letters beyond Latin, or with an apostrophe next to other signs, could be cut
+within a token: the library gets them whole. So it does pieces of more than 256 bytes, each time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .bytehash import chunks, ragged, stretch_hashes
+from .bytehash import chunks, ragged, stretch_words, word_hashes
 
 # Characters that the cutting rule covers: ASCII and the Latin letters up to U+024F.
 NOT_COVERED = re.compile(r"[^\x00-\x7fªµºÀ-ÖØ-öø-ɏ]")
@@ -23,7 +24,7 @@ LETTER, SPACE, OTHER = 1, 2, 0
 CLASS = np.zeros(256, np.uint8)
 CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), 0x27]] = LETTER
 CLASS[[*range(9, 14), 0x20]] = SPACE
-SLOT_BITS, KEPT_ENTRIES, KEPT_IDS = 21, 700_000, 6_000_000
+SLOT_BITS, KEPT_ENTRIES, KEPT_IDS, LONGEST_PIECE = 21, 700_000, 6_000_000, 256
 SEPARATOR = b"\x00"
 
 
@@ -42,7 +43,10 @@ class Encoder:
         self.key = np.zeros(1 << SLOT_BITS, np.uint64)
         self.entry = np.zeros(1 << SLOT_BITS, np.int32)
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.entries, self.used = np.zeros(4096, np.uint32), 0, 0
+        self.ids, self.entries, self.used = np.zeros(4096, np.uint32), 1, 0  # entry 0, of no size, is that of an empty slot
+        # a slot's key is the piece's first word; size in bytes, and all words with their place
+        self.size, self.word_at = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.words, self.words_used = np.zeros(4096, np.uint64), 0
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,27 +64,57 @@ class Encoder:
         ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+    def _learn(self, hashes: np.ndarray, pieces: list[str], sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         ids, n = self._pieces(pieces)
         first, end = self.entries, self.entries + len(pieces)
         while end > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.size, self.word_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.size, self.word_at))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.words_used + len(words) > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.start[first:end] = self.used + np.cumsum(n) - n
         self.length[first:end] = n
+        self.words[self.words_used : self.words_used + len(words)] = words
+        self.word_at[first:end] = self.words_used + np.cumsum(counts) - counts
+        self.size[first:end] = sizes
         new = np.arange(first, end)
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        self.key[slot], self.entry[slot] = hashes, new
-        # of pieces that meet in a slot the last stays; the others are encoded again when they come again
-        self.entry[slot] = new
-        self.key[slot] = hashes
-        self.entries, self.used = end, self.used + len(ids)
+        # a piece goes to the first of its two slots, if that is taken to the second, where the last to come stays
+        kept = np.flatnonzero(sizes <= LONGEST_PIECE)
+        one, other = self._slots(hashes[kept])
+        slot = np.where(self.size[self.entry[one]] > 0, other, one)
+        self.entry[slot] = new[kept]
+        self.key[slot] = words[(np.cumsum(counts) - counts)[kept]]
+        self.entries, self.used, self.words_used = end, self.used + len(ids), self.words_used + len(words)
         return new
 
+    @staticmethod
+    def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+    def _same(self, slot: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each piece's slot, and whether it holds the same bytes."""
+        entry = self.entry[slot].astype(np.int64)
+        same = (self.key[slot] == words[at]) & (self.size[entry] == sizes)
+        long = np.flatnonzero(same & (counts > 1))
+        if len(long):
+            n = counts[long]
+            equal = self.words[ragged(self.word_at[entry[long]], n)] == words[ragged(at[long], n)]
+            same[long] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return entry, same
+
+    def _known(self, h: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, other = self._slots(h)
+        at = np.cumsum(counts) - counts
+        entry, same = self._same(one, sizes, words, at, counts)
+        rest = np.flatnonzero(~same)
+        if len(rest):
+            entry[rest], same[rest] = self._same(other[rest], sizes[rest], words, at[rest], counts[rest])
+        return entry, same
+
     def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.entries > KEPT_ENTRIES or self.used > KEPT_IDS:
+        if self.entries > KEPT_ENTRIES or max(self.used, self.words_used) > KEPT_IDS:
             self._empty()
         data = np.frombuffer(SEPARATOR + SEPARATOR.join(texts) + SEPARATOR, np.uint8)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -100,14 +134,18 @@ class Encoder:
         starts, ends = starts[real], ends[real]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        h = stretch_hashes(data, starts, ends)
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        entry = self.entry[slot].astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        sizes = ends - starts
+        words, counts = stretch_words(data, starts, ends)
+        h = word_hashes(words, counts, sizes)
+        entry, same = self._known(h, sizes, words, counts)
+        miss = np.flatnonzero(~same)
         if len(miss):
-            unique, at, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            entry[miss] = self._learn(unique, [raw[i:j].decode() for i, j in zip(starts[miss][at].tolist(), ends[miss][at].tolist())])[inverse]
+            pieces: dict[bytes, int] = {}
+            number = np.array([pieces.setdefault(raw[i:j], len(pieces)) for i, j in zip(starts[miss].tolist(), ends[miss].tolist())], np.int64)
+            first = miss[np.unique(number, return_index=True)[1]]  # a place of each distinct piece
+            own = words[ragged((np.cumsum(counts) - counts)[first], counts[first])]
+            entry[miss] = self._learn(h[first], [x.decode() for x in pieces], sizes[first], own, counts[first])[number]
         n = self.length[entry]
         per_text = np.zeros(len(texts) + 1, np.int64)
         per_text[1:] = np.cumsum(n)[np.searchsorted(starts, marks[1:]) - 1]

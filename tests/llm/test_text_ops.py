@@ -215,3 +215,16 @@ def test_resampled_rows(spark):
     want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
     got = {r.doc_id: r["count"] for r in mixing.resample(docs).groupBy("doc_id").count().collect()}
     assert got == want
+
+
+def test_hex_runs_in_long_texts_beyond_ascii():
+    import time
+
+    from millrace.llm import secrets
+
+    text = "é" + "0123456789abcdef" * 100_000 + "é " + ("ab12" * 7 + "ä") * 20_000
+    began = time.perf_counter()
+    found = [x for x in secrets.find_spans(text) if secrets.KINDS[x[1]] == "hex"]
+    assert time.perf_counter() - began < 5
+    assert found[0] == (1, 2, 1_600_001) and len(found) == 20_001
+    assert all(len(text[a:b]) >= 24 and set(text[a:b]) <= set("0123456789abcdef") for a, _, b in found)
