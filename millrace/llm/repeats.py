@@ -3,13 +3,18 @@
 A string of `width` bytes is keyed by the smallest hash among its 16-byte grams, so equal strings have equal keys and
 neighbouring strings mostly share one: a document is a row of short runs of strings with the same key.
 
-1. Documents are dealt into blocks of neighbouring ids. Each block sends the distinct keys of its runs to buckets.
-2. A bucket returns to each block the keys that occur in two documents or more; other strings cannot repeat.
-3. Each block sends the bytes of those runs to the keys' buckets, equal runs of a block once, for its smallest document.
-4. A bucket takes the blocks in ascending order of ids as batches. A batch's suffixes are sorted (by a fingerprint of
-   their first `width` bytes, since only matches of that depth count), merge-scanned against the levels of the index,
-   which hold all smaller documents, and added as a level; levels of equal size are merged, so there are about
-   log(batches) of them. Matches go back to the blocks, which cut their documents.
+1. Documents are dealt into blocks of neighbouring ids and of like size: a range partitioning of (id, size) finds the
+   first id of each block, whatever values the ids have.
+2. Each block sends the distinct keys of its runs to buckets. A bucket returns to each block the keys that occur in two
+   documents or more (other strings cannot repeat) and says which of them are hot, that is in over `hot_runs` documents.
+3. Each block settles what repeats within it and sends the bytes of the other runs to the keys' buckets. Runs of a hot
+   key may be many, each with other bytes around the repeated ones; their strings are dealt one by one, by their own
+   fingerprint, each distinct string once a block.
+4. A bucket takes the blocks in ascending order of ids as batches, streamed in sorted order, so that only the index of
+   one bucket is held. A batch's suffixes are sorted (by a fingerprint of their first `width` bytes, since only matches
+   of that depth count), merge-scanned against the levels of the index, which hold all smaller documents, and added as
+   a level; levels of equal size are merged, so there are about log(batches) of them. Matches go back to the blocks,
+   which cut their documents.
 
 Matches never cross documents and are judged on the input. Null text is empty. Rows that repeat a doc_id are judged
 each against smaller ids. A row without doc_id takes no part and keeps all its bytes. An empty table gives no rows.
@@ -18,7 +23,7 @@ each against smaller ids. A row without doc_id takes no part and keeps all its b
 from __future__ import annotations
 
 import hashlib
-
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BYTE, MIX_1, chunks, mix, ragged, stretch_hashes
-from .common import partitions, ship
+from .common import materialize, partitions, ship
 
 WIDTH, GRAM, KEY_BYTES = 50, 16, 6
-BLOCK_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 12 << 20, 1 << 18
+BLOCK_BYTES, BUCKET_BYTES, CHUNK_BYTES, HOT_RUNS = 4 << 20, 12 << 20, 1 << 18, 8192
+MOST_BLOCKS, LARGEST_BLOCK = 1 << 20, 32 << 20  # blocks grow up to this size before there are more of them
 STEP = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -133,43 +139,76 @@ class Levels:
             self.levels.append((p[order], k[order]))
 
 
-class Batch:
-    """What a block sends to a bucket, as bytes: runs to be matched, and matches already found within the block."""
+def _packed(columns: list[tuple[np.ndarray, str]], raw: bytes = b"") -> bytes:
+    """Columns of equal length and bytes after them, compressed; nothing where the columns are empty."""
+    if not len(columns[0][0]):
+        return b""
+    body = b"".join(np.asarray(x, dtype=t).tobytes() for x, t in columns) + raw
+    return np.array([len(columns[0][0])], "<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
+
 
-    FIELDS = (("key", "<u8"), ("row", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u4"))
+def _unpacked(packed: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns, and the bytes after them as an array."""
+    if not packed:
+        return [*(np.zeros(0, t) for t in types), np.zeros(0, np.uint8)]
+    n, at, out = int(np.frombuffer(packed, "<u8", 1)[0]), 0, []
+    raw = zstandard.ZstdDecompressor().decompress(packed[8:])
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
-    @classmethod
-    def pack(cls, key, row, doc, start, windows, raw: bytes) -> bytes:
-        head = np.array([len(key)], "<u8").tobytes()
-        body = b"".join(np.asarray(x, dtype=t).tobytes() for x, (_, t) in zip((key, row, doc, start, windows), cls.FIELDS)) + raw
-        return head + zstandard.ZstdCompressor(level=1).compress(body)
 
-    @classmethod
-    def unpack(cls, raw: bytes):
-        n, at, out = int(np.frombuffer(raw, "<u8", 1)[0]), 0, []
-        raw = zstandard.ZstdDecompressor().decompress(raw[8:])
-        for _, kind in cls.FIELDS:
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-        return (*out, np.frombuffer(raw, np.uint8, offset=at))
+RUN = ("<u8", "<u4", "<i8", "<u4", "<u4")  # key, row, document, start, number of strings; then the bytes
+STRING = ("<u8", "<u8", "<u4", "<i8", "<u4")  # key, fingerprint, row, document, start
 
 
 def _spans(row, start, length) -> bytes:
     return np.stack([np.asarray(x, dtype="<u4") for x in (row, start, length)], axis=1).tobytes() if len(row) else b""
 
 
-def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = False) -> DataFrame:
+def block_starts(docs: DataFrame, block_bytes: int) -> tuple[np.ndarray, int]:
+    """The first id of each block of about `block_bytes`, ascending, and the bytes of all texts; at most MOST_BLOCKS or so of them."""
+    spark = docs.sparkSession
+    sizes = materialize(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    block_bytes = max(block_bytes, min(LARGEST_BLOCK, total // MOST_BLOCKS))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, block, last = 0, -1, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ends = before + np.cumsum(size)
+            new_id = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
+            first = np.flatnonzero(new_id)
+            number = (ends - size)[first] // block_bytes
+            begins = first[np.append(block, number[:-1]) != number] if len(first) else first
+            if len(first):
+                block = number[-1]
+            before, last = int(ends[-1]), ids[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begins], pa.int64())], ["first"])
+
+    ranged = sizes.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(cut, "first long")
+    return np.sort(np.array([r[0] for r in ranged.collect()], np.int64)), total
+
+
+def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of each row."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    blocks = max(1, -(-(total or 0) // block_bytes))
-    buckets = 1 << max(0, -(-(total or 0) // bucket_bytes) - 1).bit_length()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
+    starts, total = block_starts(docs, block_bytes)
+    buckets = 1 << max(0, -(-total // bucket_bytes) - 1).bit_length()
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
     parts = partitions(spark)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = np.searchsorted(starts, b.column(0).to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int64())], ["doc_id", "text", "block"])
+
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
 
@@ -188,22 +227,29 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
         d = np.concatenate([x for _, x in seen]) if seen else np.zeros(0, np.int64)
         order = np.lexsort((d, k))
         k, d = k[order], d[order]
-        new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-        again = ~new & np.append(False, d[1:] != d[:-1]) if len(k) else new
-        unique, several = k[new], np.unique(k[again])
-        out = [(b, _to_bytes(_top(unique[i:j])), several[(several >= unique[i]) & (several <= unique[j - 1])]) for b, i, j in per_bucket(bucket_of(unique))]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([_to_bytes(_top(x[2])) for x in out], pa.binary())})
+        fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, bool)
+        unique, several = np.unique(k[fresh], return_counts=True)  # in how many documents each key is
+        out = []
+        for b, i, j in per_bucket(bucket_of(unique)):
+            again = np.flatnonzero(several[i:j] > 1) + i
+            out.append((b, _to_bytes(_top(unique[i:j])), _to_bytes(_top(unique[again])), several[again].astype("<u4").tobytes()))
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([x[2] for x in out], pa.binary()), "counts": pa.array([x[3] for x in out], pa.binary())})
 
     def find_common(key: tuple, rows: pa.Table) -> pa.Table:
         own = [np.unique(_from_bytes(x)) for x in rows["keys"].to_pylist()]
-        every = np.sort(np.concatenate(own))
-        common = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *map(_from_bytes, rows["several"].to_pylist())]))
-        return pa.table({"block": rows["block"], "keys": pa.array([_to_bytes(x[_within(common, x)]) for x in own], pa.binary())})
+        more, counts = _from_bytes(b"".join(rows["several"].to_pylist())), np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4")
+        every = np.concatenate([*own, more])
+        unique, inverse = np.unique(every, return_inverse=True)
+        weight = np.concatenate([np.ones(len(every) - len(more)), np.maximum(counts, 1) - 1.0])
+        known = np.bincount(inverse, weight, len(unique))
+        common, hot = unique[known > 1], unique[known > hot_runs]
+        answers = [pa.array([_to_bytes(x[_within(which, x)]) for x in own], pa.binary()) for which in (common, hot)]
+        return pa.table({"block": rows["block"], "keys": answers[0], "hot": answers[1]})
 
     def send_runs(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = _rows(block)
-        common = np.sort(_from_bytes(b"".join(answers["keys"].to_pylist())))
-        names = {"bucket": pa.int64(), "block": pa.int64(), "runs": pa.binary(), "found": pa.binary()}
+        common, hot = (np.sort(_from_bytes(b"".join(answers[c].to_pylist()))) for c in ("keys", "hot"))
+        names = {"bucket": pa.int64(), "block": pa.int64(), "runs": pa.binary(), "strings": pa.binary(), "found": pa.binary()}
         if not len(common) or not ids:
             return pa.table({n: pa.array([], t) for n, t in names.items()})
         doc_ids, got, raws = np.array(ids, np.int64), [], []
@@ -220,37 +266,70 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
         leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         local = np.zeros(len(order), bool)  # an equal run of a smaller document lies in the block
         local[order] = doc_ids[text[order]] > doc_ids[text[order[leader]]]
+        is_hot = ~local & _within(hot, _top(k))
+        sent: dict[int, list[bytes]] = {}
         bucket = bucket_of(k)
         order = np.lexsort((start, text, bucket))
-        out = []
         for b, i, j in per_bucket(bucket[order]):
             own = order[i:j]
-            done, sent = own[local[own]], own[~local[own]]
-            raw = b"".join(raws[s][0][p : p + z].tobytes() for s, p, z in zip(source[sent].tolist(), place[sent].tolist(), size[sent].tolist()))
-            out.append((b, Batch.pack(k[sent], text[sent], doc_ids[text[sent]], start[sent], n[sent], raw), _spans(text[done], start[done], size[done])))
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "runs": pa.array([x[1] for x in out], pa.binary()), "found": pa.array([x[2] for x in out], pa.binary())})
-
-    def match(key: tuple, rows: pa.Table) -> pa.Table:
-        index, out = Levels(), []
-        for at in np.argsort(rows["block"].to_numpy(), kind="stable").tolist():  # smaller ids first
-            keys, row, doc, start, n, raw = Batch.unpack(rows["runs"][at].as_py())
-            spans = rows["found"][at].as_py()
-            if len(keys):
-                size = n.astype(np.int64) + width - 1
-                prints = _windows(raw, width)[1]
-                prints = prints[ragged(np.cumsum(size) - size, n.astype(np.int64))]
-                of = np.repeat(np.arange(len(keys)), n)
-                order = np.lexsort((doc[of], prints))  # the batch's suffix array
-                p, k, d = prints[order], keys[of][order], doc[of][order]
-                new = np.append(True, p[1:] != p[:-1])
-                least = d[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
-                known = index.scan(p, k)
-                hit = np.zeros(len(p), bool)
-                hit[order] = known | (d > least)
-                index.add(p[new & ~known], k[new & ~known])
-                spans += _window_runs(hit, of, row, start, n, width)
-            out.append((rows["block"][at].as_py(), spans))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([x[1] for x in out], pa.binary())})
+            done, go = own[local[own]], own[~local[own] & ~is_hot[own]]
+            raw = b"".join(raws[s][0][p : p + z].tobytes() for s, p, z in zip(source[go].tolist(), place[go].tolist(), size[go].tolist()))
+            runs = _packed(list(zip((k[go], text[go], doc_ids[text[go]], start[go], n[go]), RUN)), raw)
+            sent[b] = [runs, b"", _spans(text[done], start[done], size[done])]
+        if is_hot.any():
+            go = np.flatnonzero(is_hot)
+            prints = []
+            for s, p, z in zip(source[go].tolist(), place[go].tolist(), size[go].tolist()):
+                prints.append(_windows(raws[s][0][p : p + z], width)[1])
+            prints, of = np.concatenate(prints), np.repeat(go, n[go])
+            at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n[go]) - n[go], n[go])
+            order = np.lexsort((at, text[of], k[of], prints))
+            prints, of, at = prints[order], of[order], at[order]
+            new = np.append(True, (prints[1:] != prints[:-1]) | (k[of][1:] != k[of][:-1]))
+            least = doc_ids[text[of]][np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))]
+            known = doc_ids[text[of]] > least  # rows of a block are in ascending order of ids
+            target = bucket_of(mix(prints))
+            order = np.lexsort((at, text[of], target))
+            for b, i, j in per_bucket(target[order]):
+                done, go = order[i:j][known[order[i:j]]], order[i:j][~known[order[i:j]]]
+                own = of[go]
+                strings = _packed(list(zip((k[own], prints[go], text[own], doc_ids[text[own]], at[go]), STRING)))
+                slot = sent.setdefault(b, [b"", b"", b""])
+                slot[1] = strings
+                slot[2] += _string_spans(text[of[done]], at[done], width)
+        columns = [list(sent), [key[0].as_py()] * len(sent), *([x[c] for x in sent.values()] for c in range(3))]
+        return pa.table({name: pa.array(x, t) for (name, t), x in zip(names.items(), columns)})
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by bucket, then by block, so that smaller ids come first; runs and single strings share the index."""
+        bucket, index = None, Levels()
+        for rows in batches:
+            out = []
+            for b, block, runs, strings, spans in zip(*(rows[c].to_pylist() for c in ("bucket", "block", "runs", "strings", "found"))):
+                if b != bucket:
+                    bucket, index = b, Levels()
+                keys, row, doc, start, n, raw = _unpacked(runs, RUN)
+                string_keys, string_prints, string_row, string_doc, string_at, _ = _unpacked(strings, STRING)
+                prints, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(keys):
+                    size = n.astype(np.int64) + width - 1
+                    prints = _windows(raw, width)[1][ragged(np.cumsum(size) - size, n.astype(np.int64))]
+                    of = np.repeat(np.arange(len(keys)), n)
+                all_prints, all_keys, all_docs = np.concatenate([prints, string_prints]), np.concatenate([keys[of], string_keys]), np.concatenate([doc[of], string_doc])
+                if len(all_prints):
+                    order = np.lexsort((all_docs, all_prints))  # the batch's suffix array
+                    p, k, d = all_prints[order], all_keys[order], all_docs[order]
+                    new = np.append(True, p[1:] != p[:-1])
+                    least = d[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
+                    known = index.scan(p, k)
+                    hit = np.zeros(len(p), bool)
+                    hit[order] = known | (d > least)
+                    index.add(p[new & ~known], k[new & ~known])
+                    spans += _window_runs(hit[: len(prints)], of, row, start, n, width)
+                    single = hit[len(prints) :]
+                    spans += _string_spans(string_row[single], string_at[single], width)
+                out.append((block, spans))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "spans"])
 
     def cut(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = _rows(block)
@@ -277,12 +356,11 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    place = F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(step)).cast("long")
-    dealt = docs.where("doc_id is not null").withColumn("block", place).repartition(parts, "block")
-    keys = dealt.groupBy("block").applyInArrow(send_keys, "bucket long, block long, keys binary, several binary")
-    common = keys.repartition(parts, "bucket").groupBy("bucket").applyInArrow(find_common, "block long, keys binary").repartition(parts, "block")
-    runs = dealt.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(send_runs, "bucket long, block long, runs binary, found binary")
-    spans = runs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match, "block long, spans binary").repartition(parts, "block")
+    dealt = docs.where("doc_id is not null").mapInArrow(place, "doc_id long, text string, block long").repartition(parts, "block")
+    keys = dealt.groupBy("block").applyInArrow(send_keys, "bucket long, block long, keys binary, several binary, counts binary")
+    common = keys.repartition(parts, "bucket").groupBy("bucket").applyInArrow(find_common, "block long, keys binary, hot binary").repartition(parts, "block")
+    runs = dealt.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(send_runs, "bucket long, block long, runs binary, strings binary, found binary")
+    spans = runs.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(match, "block long, spans binary").repartition(parts, "block")
     out = dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rest = docs.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept"))
@@ -298,6 +376,17 @@ def _pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[new], d[new]
 
 
+def _string_spans(row: np.ndarray, at: np.ndarray, width: int) -> bytes:
+    """Spans of neighbouring single strings of a row."""
+    if not len(row):
+        return b""
+    order = np.lexsort((at, row))
+    row, at = row[order].astype(np.int64), at[order].astype(np.int64)
+    new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))
+    first = np.flatnonzero(new)
+    return _spans(row[first], at[first], np.diff(np.append(first, len(row))) + width - 1)
+
+
 def _window_runs(hit: np.ndarray, of: np.ndarray, row, start, n, width: int) -> bytes:
     """Spans of bytes (row, start, length) of neighbouring matched windows of a run."""
     at = np.flatnonzero(hit)

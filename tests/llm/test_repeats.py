@@ -44,6 +44,7 @@ def test_documents(spark):
     assert sum(r[2] for r in want) > 0
     assert result(df) == want
     assert result(df, block_bytes=1 << 14, bucket_bytes=1 << 14) == want
+    assert result(df, block_bytes=1 << 14, bucket_bytes=1 << 14, hot_runs=3) == want
 
 
 def test_awkward_rows(spark):
@@ -56,9 +57,29 @@ def test_awkward_rows(spark):
     want = sorted(brute(rows), key=str)
     assert result(df) == want
     assert result(df, block_bytes=300, bucket_bytes=2000) == want
+    for hot in (0, 2, 10):
+        assert result(df, block_bytes=300, bucket_bytes=2000, hot_runs=hot) == want
     assert result(df.limit(0)) == []
 
 
+def test_ids_at_both_ends_and_blocks_of_like_size(spark):
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    shared = text()[:120]
+    ids = [-(2**63), 2**63 - 1, 10**12, *range(0, 4000, 7)]
+    rows = [(i, shared + text() if i % 3 == 0 else text()) for i in ids]
+    df = spark.createDataFrame([(*r, "b", "n") for r in rows], SCHEMA)
+    want = sorted(brute(rows), key=str)
+    assert result(df, block_bytes=10_000, bucket_bytes=20_000) == want
+    assert result(df, block_bytes=10_000, bucket_bytes=20_000, hot_runs=5) == want
+    starts, total = repeats.block_starts(df, 10_000)
+    assert total == sum(len(t) for _, t in rows) and list(starts) == sorted(set(starts))
+    size = [0] * len(starts)
+    for i, t in rows:
+        size[sum(int(x) <= i for x in starts) - 1] += len(t)
+    assert max(size) < 20_000 and len(starts) <= total / 10_000 + 9
+
+
 def test_long_runs_that_differ_in_the_middle(spark):
     cells = [c * 2 + " " for c in "0-=|"] + ["0 ", "- ", "_", "|  |", "spam "]
     rows = []
