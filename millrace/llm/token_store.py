@@ -63,9 +63,10 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and n_tokens, without touching the ids."""
     rows = spark.read.parquet(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    # one row of two numbers for each file, and no more files than shuffle partitions when they were written
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
-    return rows.join(sums, "part").withColumn("start", F.col("local_start") + F.col("before"))
+    return rows.join(F.broadcast(sums), "part").withColumn("start", F.col("local_start") + F.col("before"))
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
