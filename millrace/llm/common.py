@@ -75,6 +75,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """Join rows with a table of one row per key whose column `count` says how many of the rows have the key.
+
+    Keys with over 1 / most of all rows, of which there can be no more than `most`, are broadcast; so no key, however
+    frequent, gathers its rows in one task. Both sides are read twice and should be stored tables.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    frequent = F.broadcast(keys.where(F.col(count) * most > total))
+    rest = rows.join(frequent.select(*on), on, "left_anti").join(keys.where(F.col(count) * most <= total), on, how)
+    return rows.join(frequent, on).unionByName(rest)
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of `[^\\x20\\x09-\\x0D]+`; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

@@ -11,10 +11,13 @@ be near, by exact counts over the whole corpus:
    both have a shared shingle among their first fifth. The order is from rare to frequent. The smallest document with a
    shingle among its first fifth is the pivot of all documents that have it there: each document is replicated to
    the regions of all its pivots, and every linked pair meets in a region.
-4. In a region the distances to the pivot are computed. Documents within the threshold are linked to it and need
-   not be compared with one another. Of the others each is the pivot of the next level in turn: the triangle inequality
-   keeps for it only documents whose distances to all pivots so far differ by at most the threshold. A large region is
-   dealt into parts, each with a copy of the pivot, and what lies outside the pivot's ball meets every part.
+4. Within a region the metric-space join runs. Pivots are drawn by a hash, those near another left out; each document
+   belongs to the Voronoi cell of its nearest pivot and is replicated to every cell whose pivot is at most twice the
+   threshold's distance farther: by the triangle inequality a linked pair meets in the cell of either's nearest pivot.
+   Documents linked to the same pivot carry its label, since they are connected; cells of one label are done. Cells join
+   recursively: as tables while they hold more than `region_rows`, each level a shuffle of ids, then within a task.
+   Documents far from every pivot, which more than three windows hold, are compared with all of their region where they are few;
+   a region that cells cannot divide is compared block by block. Distances to pivots so far still rule pairs out.
 5. Links become connected components by star contraction.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+` with A-Z lowered; fewer words than a shingle form one; a text without words has
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import MIX_1, MIX_2, chunks, mix, stretch_hashes
-from .common import fresh, materialize, partitions, ship
+from .common import fresh, materialize, partitions, ship, spread_join
 from .components import components
 
 WORDS, THRESHOLD, KEY_BYTES = 5, 80, 6  # the threshold in hundredths
 BLOCK_BYTES, BUCKET_BYTES, REGION_ROWS = 4 << 20, 24 << 20, 4096
+PIVOTS, LEAF_ROWS, MOST_COPIES, MOST_LEVELS = 16, 64, 3, 8
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -101,14 +105,21 @@ def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray | int, threshold: in
 
 
 class Region:
-    """Exact links among the sets of one region, as stars of its connected documents."""
+    """Exact links among the sets of one region, as stars of its connected documents.
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> None:
+    Documents with the same label, if not 0, count as connected.
+    """
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], threshold: int, labels: np.ndarray | None = None) -> None:
         self.ids, self.sets, self.threshold = ids, sets, threshold
         self.size = np.array([len(s) for s in sets], np.int64)
         self.flat = np.concatenate(sets)
         self.at = np.cumsum(self.size) - self.size
         self.parent = np.arange(len(ids))
+        self.reach = 1 - threshold / 100 + 1e-9
+        if labels is not None and labels.any():
+            _, first, number = np.unique(labels, return_index=True, return_inverse=True)
+            self.parent = np.where(labels != 0, first[number], self.parent)
         self.distances: list[np.ndarray] = []
 
     def common(self, pivot: int, rows: np.ndarray) -> np.ndarray:
@@ -145,27 +156,68 @@ class Region:
 
     def window(self, pivot: int, rows: np.ndarray) -> np.ndarray:
         """The rows that the sizes, the distances to earlier pivots and the links so far leave for the pivot."""
-        n, reach = self.size[pivot], 1 - self.threshold / 100 + 1e-9
+        n = self.size[pivot]
         rows = rows[(100 * self.size[rows] >= self.threshold * n) & (100 * n >= self.threshold * self.size[rows])]
         for d in self.distances:
             gap = np.abs(d[rows] - d[pivot])
-            rows = rows[~(gap > reach)]  # unknown distances rule nothing out
+            rows = rows[~(gap > self.reach)]  # unknown distances rule nothing out
         root = self.roots()
         return rows[root[rows] != root[pivot]]
 
-    def solve(self, outside: np.ndarray | None = None) -> np.ndarray:
-        """Links: all of the region, or only those of the rows `outside` the first row's ball with every other."""
-        every = np.arange(len(self.ids))
-        near = self.visit(0, every)
-        rest = np.setdiff1d(every, near) if outside is None else outside
-        first = self.distances[0]
-        for y in rest[np.argsort(first[rest], kind="stable")]:
-            todo = self.window(y, every[every != y])
-            todo = todo[np.argsort(np.abs(first[todo] - first[y]), kind="stable")]
-            while len(todo):
-                self.visit(y, todo[:64])
-                todo = self.window(y, todo[64:])
-        return near
+    def compare(self, some: np.ndarray, others: np.ndarray) -> None:
+        """Link every one of some with every one of others that the windows leave.
+
+        Of two documents that are not connected yet, one at least is not among the largest connected group.
+        """
+        root = self.roots()
+        names, counts = np.unique(root[np.append(some, others)], return_counts=True)
+        largest = names[np.argmax(counts)]
+        sides = [(some, others)] if some is others else [(some, others), (others, some)]
+        for one, other in sides:
+            for y in one[root[one] != largest]:
+                todo = self.window(y, other[other != y])
+                if self.distances:
+                    todo = todo[np.argsort(np.abs(self.distances[0][todo] - self.distances[0][y]), kind="stable")]
+                while len(todo):
+                    self.visit(y, todo[:64])
+                    todo = self.window(y, todo[64:])
+
+    def to_pivots(self, pivots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distances (pivot, row); what reaches the threshold is linked."""
+        out = np.empty((len(pivots), len(rows)))
+        for k, p in enumerate(pivots):
+            self.visit(int(p), rows)
+            out[k] = self.distances[-1][rows]
+        return out
+
+    def net(self, drawn: np.ndarray) -> np.ndarray:
+        """Those of the drawn rows that lie apart, so that few windows reach over several cells."""
+        distance, chosen = self.to_pivots(drawn, drawn), []
+        for k in range(len(drawn)):
+            if all(distance[j, k] > 2 * self.reach for j in chosen):
+                chosen.append(k)
+        return drawn[chosen]
+
+    def solve(self, rows: np.ndarray | None = None) -> None:
+        """All links among the rows, by cells and windows while these divide them."""
+        rows = np.arange(len(self.ids)) if rows is None else rows
+        root = self.roots()[rows]
+        if (root == root[0]).all():
+            return
+        if len(rows) <= LEAF_ROWS:
+            self.compare(rows, rows)
+            return
+        cells = in_cells(self.to_pivots(self.net(rows[:: -(-len(rows) // PIVOTS)]), rows), self.reach)
+        wide = cells.sum(axis=0) > MOST_COPIES  # far from every pivot, so within too many windows
+        cells = cells & ~wide
+        if wide.mean() > 0.5 or cells.sum(axis=1).max() > 0.9 * len(rows):
+            self.compare(rows, rows)
+            return
+        if wide.any():
+            self.compare(rows[wide], rows)
+        for cell in cells:
+            if cell.any():
+                self.solve(rows[cell])
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """Each document with the smallest id of its connected documents, where that is another one."""
@@ -176,6 +228,11 @@ class Region:
         return self.ids[other], least[root][other]
 
 
+def in_cells(distance: np.ndarray, reach: float) -> np.ndarray:
+    """Which rows (second axis) are in the cell of each pivot (first axis) or in its window."""
+    return distance <= distance.min(axis=0) + 2 * reach
+
+
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
@@ -273,8 +330,10 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bloc
     placed = materialize(placed, "shingles")
 
     found = region_links(placed.where("shingles is not null"), threshold, region_rows)
-    classes = placed.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("stand"))
-    rows = materialize(placed.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left").select("doc_id", "n", "stand"), "classes")
+    classes = placed.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("stand"), F.count("*").alias("copies"))
+    classes = materialize(classes.where("copies > 1"), "copies")
+    rows = spread_join(placed.select("doc_id", "n", "a", "b"), classes, ["n", "a", "b"], "copies", "left")
+    rows = materialize(rows.select("doc_id", "n", F.coalesce("stand", F.when(F.col("n") > 0, F.col("doc_id"))).alias("stand")), "classes")
     several = rows.where("stand is not null").groupBy("doc_id").agg(F.min("stand").alias("v"), F.max("stand").alias("w")).where("v <> w")
     bridges = rows.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("stand").alias("v"))
     parts_of = components(found.unionByName(bridges))
@@ -291,47 +350,115 @@ def groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bloc
 
 
 def region_links(sets: DataFrame, threshold: int, region_rows: int) -> DataFrame:
-    """Links u, v among the sets (doc_id, shingles, prefix): all that connects them, as stars."""
-    by_shingle = sets.select("doc_id", F.explode("prefix").alias("shingle"))
-    pivots = by_shingle.groupBy("shingle").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    members = by_shingle.join(pivots, "shingle").select("pivot", "doc_id").distinct()
-    regions = members.groupBy("pivot").agg(F.count("*").alias("rows")).where("rows > 1")
-    deal = F.ceil(F.col("rows") / F.lit(region_rows)).cast("int")
-    members = members.join(regions.select("pivot", deal.alias("deal")), "pivot")
-    part = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("deal") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int")))
-    members = members.select("pivot", "deal", "doc_id", F.explode(part).alias("part")).join(sets.select("doc_id", "shingles"), "doc_id")
-
-    def ordered(key: tuple, rows: pa.Table) -> tuple[pa.Table, Region]:
-        ids = rows["doc_id"].to_numpy()
-        rows = rows.take(pa.array(np.lexsort((rows["shingles"].to_numpy(zero_copy_only=False), ids, ids != key[0].as_py()))))
-        return rows, Region(rows["doc_id"].to_numpy(), _sets(rows["shingles"]), threshold)
-
-    def within(key: tuple, rows: pa.Table) -> pa.Table:
-        """Links of a part; of a dealt region, also the rows outside the pivot's ball, linked to themselves."""
-        rows, region = ordered(key, rows)
-        near = region.solve()
-        u, v = region.stars()
-        if rows["deal"][0].as_py() > 1:
-            outside = region.ids[np.setdiff1d(np.arange(len(region.ids)), near)]
-            u, v = np.append(u, outside), np.append(v, outside)
-        pivot = np.full(len(u), key[0].as_py())
-        return pa.table({"pivot": pa.array(pivot, pa.int64()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    def across(key: tuple, rows: pa.Table) -> pa.Table:
-        """Links between the rows from outside the ball and those of one part."""
-        rows, region = ordered(key, rows)
-        region.solve(np.flatnonzero(rows["outside"].to_numpy(zero_copy_only=False)))
+    """Links u, v among the stored sets (doc_id, shingles, prefix): all that connects them, as stars."""
+    by_shingle = materialize(sets.select("doc_id", F.explode("prefix").alias("shingle")), "prefixes")
+    pivots = by_shingle.groupBy("shingle").agg(F.min("doc_id").alias("region"), F.count("*").alias("c")).where("c > 1")
+    members = spread_join(by_shingle, materialize(pivots, "pivots"), ["shingle"], "c").select("region", "doc_id").distinct()
+    members = members.withColumn("label", F.lit(0).cast("long"))
+    shingles = sets.select("doc_id", "shingles")
+    link = "u long, v long"
+
+    def region_of(rows: pa.Table, first: int | None = None) -> Region:
+        """Rows in an order that does not depend on how they arrived, the region's own document first."""
+        ids, raw = rows["doc_id"].to_numpy(), rows["shingles"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] != first, ids[k], raw[k]))
+        return Region(ids[order], [np.frombuffer(raw[k], "<u8") for k in order], threshold, rows["label"].to_numpy()[order])
+
+    def stars(region: Region) -> pa.Table:
         u, v = region.stars()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    found = materialize(members.groupBy("pivot", "part").applyInArrow(within, "pivot long, u long, v long"), "links")
-    outside = found.where("u = v").select("pivot", F.col("u").alias("doc_id")).distinct()
-    dealt = members.where("deal > 1")
-    copies = dealt.select("pivot", "doc_id", "deal", "shingles").join(outside, ["pivot", "doc_id"], "left_semi")
-    copies = copies.distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).withColumn("outside", F.lit(True))
-    both = copies.unionByName(dealt.withColumn("outside", F.lit(False)).join(outside.select("pivot").distinct(), "pivot", "left_semi"))
-    both = both.groupBy("pivot", "part", "doc_id", "shingles").agg(F.max("outside").alias("outside"))
-    return found.where("u <> v").select("u", "v").unionByName(both.groupBy("pivot", "part").applyInArrow(across, "u long, v long"))
+    def within(key: tuple, rows: pa.Table) -> pa.Table:
+        region = region_of(rows, key[0].as_py())
+        region.solve()
+        return stars(region)
+
+    def divide(key: tuple, rows: pa.Table, drawn: pa.Table) -> pa.Table:
+        """Each row's cells, with its label; links to pivots have no region."""
+        if rows.num_rows and drawn.num_rows:
+            drawn = drawn.sort_by("doc_id")
+            n = drawn.num_rows
+            names = ["doc_id", "shingles", "label"]
+            both = pa.concat_tables([drawn.select(names), rows.select(names)])
+            region = Region(both["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in both["shingles"].to_pylist()], threshold, both["label"].to_numpy())
+            every = np.arange(both.num_rows)
+            # pivots connected among themselves or by their labels, the same in every part
+            labelled = region.roots().copy()  # by labels alone, so the same in every part
+            pivots = region.net(every[:n])
+            root = labelled[pivots]
+            name = np.array([region.ids[pivots][root == r].min() for r in root])
+            distance = region.to_pivots(pivots, every)[:, n:]
+            common = 1 - distance  # similarity of each row to each pivot, as it was compared
+            near = 100 * common >= threshold - 1e-7
+            cells = in_cells(distance, region.reach)
+            ids, labels = region.ids[n:], both["label"].to_numpy()[n:]
+            own = np.where(near.any(axis=0), name[np.argmax(near, axis=0)], labels)
+            at, row = np.nonzero(cells)
+            salt = int(key[0].as_py())
+            names_of = np.array([hash((salt, int(p))) for p in region.ids[pivots]], np.int64)
+            linked_at, linked_row = np.nonzero(near)
+            other = ids[linked_row] != region.ids[pivots][linked_at]
+            linked_at, linked_row = linked_at[other], linked_row[other]
+            links = len(linked_row)
+            return pa.table({
+                "region": pa.array(np.append(names_of[at], np.zeros(links, np.int64)), pa.int64()),
+                "parent": pa.array(np.full(len(at) + links, salt), pa.int64()),
+                "doc_id": pa.array(np.append(ids[row], ids[linked_row]), pa.int64()),
+                "label": pa.array(np.append(own[row], np.zeros(links, np.int64)), pa.int64()),
+                "v": pa.array(np.append(np.full(len(at), None), region.ids[pivots][linked_at]).tolist(), pa.int64()),
+            })
+        return pa.table({c: pa.array([], pa.int64()) for c in ("region", "parent", "doc_id", "label", "v")})
+
+    def between(key: tuple, rows: pa.Table) -> pa.Table:
+        """Links between two blocks of a region, or within one."""
+        region = region_of(rows)
+        block = dict(zip(rows["doc_id"].to_pylist(), rows["block"].to_pylist()))
+        of = np.array([block[i] for i in region.ids.tolist()])
+        every = np.arange(len(of))
+        region.to_pivots(region.net(every[:: -(-len(every) // PIVOTS)])[:8], every)
+        if (of == of[0]).all():
+            region.compare(every, every)
+        else:
+            region.compare(every[of == of[0]], every[of != of[0]])
+        return stars(region)
+
+    found = []
+    for level in range(MOST_LEVELS + 1):
+        members = materialize(members, "members")
+        sizes = members.groupBy("region").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"))
+        sizes = materialize(sizes.where("rows > 1 and (least <> most or least = 0)").select("region", "rows"), "regions")
+        members = spread_join(members, sizes, ["region"], "rows")
+        small = members.where(F.col("rows") <= region_rows).join(shingles, "doc_id")
+        found.append(small.select("region", "doc_id", "label", "shingles").groupBy("region").applyInArrow(within, link))
+        if not sizes.where(F.col("rows") > region_rows).head(1):
+            break
+        deal = F.ceil(F.col("rows") / F.lit(region_rows)).cast("int")
+        large = members.where(F.col("rows") > region_rows).withColumn("deal", deal).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int"))
+        large = materialize(large.join(shingles, "doc_id"), "large")
+        drawn = large.where(F.pmod(F.xxhash64("doc_id", "region", F.lit(level)), F.col("rows")) < PIVOTS)
+        drawn = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+        cells = large.groupBy("region", "part").cogroup(drawn.groupBy("region", "part")).applyInArrow(divide, "region long, parent long, doc_id long, label long, v long")
+        cells = materialize(cells, "cells")
+        found.append(cells.where("v is not null").select(F.col("doc_id").alias("u"), "v"))
+        inside = cells.where("v is null")
+        # a parent is divided if that copies its documents a few times at most and no cell is nearly all of it
+        per_cell = inside.groupBy("parent", "region").agg(F.count("*").alias("n"))
+        per_parent = per_cell.groupBy("parent").agg(F.sum("n").alias("copies"), F.max("n").alias("largest"))
+        regions = sizes.where(F.col("rows") > region_rows)
+        fit = regions.join(per_parent, regions["region"] == per_parent["parent"]).where((F.col("copies") <= MOST_COPIES * F.col("rows")) & (F.col("largest") <= 0.9 * F.col("rows")))
+        divided = materialize(fit.select("region"), "divided") if level < MOST_LEVELS else regions.select("region").limit(0)
+        # what cells cannot divide is compared block by block; documents labelled by connected pivots are not compared
+        labelled = inside.groupBy("parent", "doc_id").agg(F.max("label").alias("named")).select(F.col("parent").alias("region"), "doc_id", "named")
+        stuck = large.join(divided, "region", "left_anti").join(labelled, ["region", "doc_id"], "left").withColumn("label", F.coalesce("named", "label"))
+        blocks = F.explode(F.sequence(F.lit(0), F.col("deal") - 1))
+        stuck = stuck.withColumn("other", blocks).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+        stuck = stuck.select("region", "i", "j", "doc_id", "label", "shingles", F.col("part").alias("block"))
+        found.append(stuck.groupBy("region", "i", "j").applyInArrow(between, link))
+        members = inside.join(divided.withColumnRenamed("region", "parent"), "parent", "left_semi").select("region", "doc_id", "label").distinct()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

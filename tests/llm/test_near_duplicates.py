@@ -75,6 +75,54 @@ def test_chains(spark, chains, how):
     assert result(spark.createDataFrame([(*r, "x", 1) for r in chains], SCHEMA), **how) == brute(chains)
 
 
+def clustered(rnd, n, words=60):
+    """Sets around a few centres, with edits of every size, so that cells divide them."""
+    centres = [[f"c{c}w{k}" for k in range(words)] for c in range(4)]
+    rows = []
+    for k in range(n):
+        text = list(rnd.choice(centres))
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 8, 20])):
+            text[rnd.randrange(words)] = f"e{rnd.randrange(10**6)}"
+        rows.append((k, "the same rare words begin every text " + " ".join(text)))
+    return rows
+
+
+def test_cells_in_a_task(monkeypatch):
+    """Links of one region by recursion into small cells, against all pairs; labels that are given count as links."""
+    monkeypatch.setattr(near_duplicates, "LEAF_ROWS", 6)
+    rnd, divided = random.Random(2), 0
+    for trial in range(6):
+        rows = clustered(rnd, 150)
+        sets_of = near_duplicates.shingle_sets([t.encode() for _, t in rows])
+        region = near_duplicates.Region(np.arange(len(rows)), sets_of, 80)
+        calls = []
+        compare = region.compare
+        region.compare = lambda some, others: (calls.append(len(some)), compare(some, others))
+        region.solve()
+        divided += len(calls) > 1
+        got = dict(zip(*(x.tolist() for x in region.stars())))
+        assert [(d, got.get(d, d)) for d, _ in rows] == [(d, c) for d, _, c in sorted(brute(rows))]
+    assert divided >= 4
+
+
+@pytest.mark.parametrize("rows_in_a_region", [40, 7, 2])
+def test_cells_as_tables(spark, rows_in_a_region):
+    rows = clustered(random.Random(rows_in_a_region), 120)
+    rows += [(1000 + k, rows[0][1] + f" x{k}") for k in range(60)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    assert result(df, region_rows=rows_in_a_region) == brute(rows)
+
+
+def test_windows_keep_all_pairs():
+    draw = np.random.default_rng(5)
+    points = draw.random((400, 2))
+    d = np.abs(points[:, None] - points[None, :]).max(axis=2)
+    cells = near_duplicates.in_cells(d[:9], 0.05)
+    near = d <= 0.05
+    assert (np.einsum("ki,kj->ij", cells.astype(int), cells.astype(int))[near] > 0).all()
+    assert cells.sum() < 9 * 400 / 2
+
+
 def test_awkward_rows(spark):
     long = " ".join(f"w{k}" for k in range(30000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, long), (8, long + " x"), (9, "É a b c d e"), (10, "é a b c d e"),
