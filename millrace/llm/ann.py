@@ -7,7 +7,8 @@ of a neighbour at distance d is d^2 times a chi-square variable of m degrees. So
 in ascending order, leaf by leaf, verifies them on the original vectors, and stops when the next one's projected
 squared distance is beyond d_k^2 times the `confidence` quantile: each neighbour nearer than d_k would have come
 before with that probability. Regions that the test already rules out by the k-th distance to the sample, an upper
-bound of d_k, are never visited. Projections of equal vectors differ in the last bits between matrix products of
+bound of d_k, are never visited. Each block of queries meets a group's rows once, so the rows are copied once for every
+`query_rows` queries. Projections of equal vectors differ in the last bits between matrix products of
 different shape, so each test allows for rounding: at distance 0 copies still pass.
 
 Rows that take part: see vectors.taking_part (null, zero, ragged and non-finite vectors do not). Repeated rows count
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship
 from .vectors import blocks_of, dealt, every, matrix, taking_part
 
-DIMENSIONS, CONFIDENCE, SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS, LEAF_ROWS, SEED = 8, 0.97, 4096, 8192, 4096, 64, 11
+DIMENSIONS, CONFIDENCE, SAMPLE_ROWS, GROUP_ROWS, QUERY_ROWS, LEAF_ROWS, SEED = 16, 0.95, 4096, 8192, 16384, 128, 11
 ROUNDING = 1e-9  # of the squared norm of a query's projection
 
 
@@ -147,7 +148,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     """query_id, rank, vec_id, score: for each row where is_query (on column `id`) holds, its k nearest found."""
     spark = df.sparkSession
     ship(spark)
-    rows = taking_part(df, id_col, vec_col, allow_zero=False)
+    rows = materialize(taking_part(df, id_col, vec_col, allow_zero=False), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     sample = rows.orderBy(F.xxhash64("id", "vec")).limit(sample_rows).toPandas()
     if not len(sample):

@@ -105,7 +105,7 @@ def test_cells_in_a_task(monkeypatch):
     assert divided >= 4
 
 
-@pytest.mark.parametrize("rows_in_a_region", [40, 7, 2])
+@pytest.mark.parametrize("rows_in_a_region", [30, 7])
 def test_cells_as_tables(spark, rows_in_a_region):
     rows = clustered(random.Random(rows_in_a_region), 120)
     rows += [(1000 + k, rows[0][1] + f" x{k}") for k in range(60)]

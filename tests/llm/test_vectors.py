@@ -86,3 +86,27 @@ def test_products_beyond_doubles():
     rows = np.array([[2.0**40, 1.0], [2.0**40 - 1, 3.0], [1.0, 1.0]])
     got = topk.search_block(np.array([9]), np.array([[2.0**20, 1.0]]), np.array([1, 2, 3]), rows, 2)
     assert [x.tolist() for x in got] == [[9, 9], [1, 2], [2**60 + 1, 2**60 - 2**20 + 3]]
+
+
+def test_bounds_leave_pairs_out():
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((20, 64)) * 60
+    rows = np.floor(centres[draw.integers(0, 20, 3000)] + draw.standard_normal((3000, 64)) * 20)
+    ids, counts = np.arange(3000), {}
+    qs, found, scores = topk.search_block(ids[::20], rows[::20], ids, rows, 20, counts)
+    for q in ids[::20]:
+        own = [(-int(rows[q] @ rows[i]), i) for i in ids if i != q]
+        assert [(-s, i) for s, i in sorted(own)[:20]] == list(zip(scores[qs == q].tolist(), found[qs == q].tolist()))
+    assert counts["pairs"] == 150 * 3000
+    assert counts["left by 8 segments"] >= counts["left by 32 segments"] >= counts["exact products"]
+    assert counts["exact products"] < counts["pairs"] / 4
+
+
+def test_products_of_large_components(spark):
+    rows = [(0, [1e20, 1.0]), (20, [1e300, -1e300]), (40, [1e307, 1.0]), (1, [1e20, -2.0]), (2, [-1e20, 1.0]), (3, [1.0, 1.0]), (60, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_products(df, F.col("id") % 20 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    most = 2**63 - 1
+    assert got == {0: [(1, most), (3, most), (20, most)], 20: [(0, most), (1, most), (3, 0)], 60: [(0, 0), (1, 0), (2, 0)]}
