@@ -2,10 +2,11 @@
 
 Documents become token pieces of at most `capacity`; only longer ones are cut, the remainder first. Full pieces
 fill a sequence each. The others are dealt by a hash of their row into shards of bounded size. Each shard is
-evolved on several islands, every (shard, island) a group of its own; after an epoch each island's elite migrates
-to the next island of the ring. Crossover injects well-filled bins whole, drops the bins that hold their
-documents a second time, and best-fits the displaced documents, largest first. A shard stops early when it
-reaches the volume bound. Documents of the worst-filled bins of all shards are dealt anew in a last, smaller round.
+evolved on several islands, every (shard, island) a group of its own that holds only lengths and bins; after each
+epoch of a few generations an island's elite migrates to the next island of the ring. Crossover injects well-filled
+bins whole, drops the bins that hold their documents a second time, swaps displaced documents for smaller ones of the
+bins where that fills them better, and best-fits the rest, largest first. A shard stops early when a generation has
+reached the volume bound. Documents of the worst-filled bins of all shards are dealt anew in a last, smaller round.
 
 Null text is empty (the end id alone); repeated rows are documents of their own; an empty table gives no rows;
 other columns are ignored.
@@ -18,16 +19,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
 from .tokens import encoder
 
-CAPACITY, SHARD_ITEMS, ISLANDS, EPOCHS = 1024, 2048, 2, 2
-POPULATION, GENERATIONS, WELL_FILLED = 4, 6, 0.98
+CAPACITY, SHARD_ITEMS, ISLANDS, EPOCHS = 1024, 2048, 2, 3
+POPULATION, GENERATIONS, WELL_FILLED = 5, 6, 0.98
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -133,125 +133,145 @@ def fitness(bins: Bins, size: list[int]) -> tuple[int, int]:
 
 def lower_bound(size: list[int], capacity: int) -> int:
     """Volume bound, with items of over half a bin alone or beside what fits (Martello and Toth's L2)."""
-    s = sorted(size)
-    best = -(-sum(s) // capacity)
-    large = [x for x in s if 2 * x > capacity]
-    for t in sorted({capacity - x for x in large if capacity - x > 0} | {0}):
-        alone = sum(x > capacity - t for x in s)
-        middle = [x for x in s if capacity - t >= x and 2 * x > capacity]
-        small = sum(x for x in s if t <= x and 2 * x <= capacity)
-        best = max(best, alone + len(middle) + max(0, -(-(small - (len(middle) * capacity - sum(middle))) // capacity)))
-        if t > capacity // 4:
-            break
-    return best
+    s = np.sort(np.array(size, np.int64))
+    sums = np.concatenate([[0], np.cumsum(s)])
+    half = np.searchsorted(s, capacity // 2, side="right")
+    t = np.unique(np.append(capacity - s[half:], 0))
+    top = np.searchsorted(s, capacity - t, side="right")  # beyond are those that no item of t or more fits beside
+    middle = np.maximum(top - half, 0)
+    small = sums[half] - sums[np.minimum(np.searchsorted(s, t), half)]
+    beside = middle * capacity - (sums[np.maximum(top, half)] - sums[half])
+    needed = len(s) - np.maximum(top, half) + middle + np.maximum(0, -(-(small - beside) // capacity))
+    return int(max(-(-sums[-1] // capacity), needed.max()))
+
+
+def swap_in(loose: list[int], size: list[int], bins: Bins, room: list[int]) -> list[int]:
+    """Swap one document of a bin for the loose one that fills the bin best; what is loose then, smaller on the whole."""
+    by_size: dict[int, list[int]] = {}
+    for i in loose:
+        by_size.setdefault(size[i], []).append(i)
+    mask = sum(1 << s for s in by_size)
+    for k, r in enumerate(room):
+        if not r:
+            continue
+        gain, place, within = 0, -1, (1 << r) - 1
+        for at, i in enumerate(bins[k]):
+            fits = mask >> (size[i] + 1) & within
+            if fits.bit_length() > gain:
+                gain, place = fits.bit_length(), at
+        if gain:
+            old = bins[k][place]
+            s = size[old] + gain
+            bins[k][place] = by_size[s].pop()
+            if not by_size[s]:
+                del by_size[s]
+                mask &= ~(1 << s)
+            by_size.setdefault(size[old], []).append(old)
+            mask |= 1 << size[old]
+            room[k] = r - gain
+    return [i for own in by_size.values() for i in own]
+
+
+def settle(loose: list[int], size: list[int], bins: Bins, room: list[int], capacity: int) -> None:
+    loose = swap_in(loose, size, bins, room)
+    best_fit(sorted(loose, key=lambda i: (-size[i], i)), size, bins, room, capacity)
 
 
 def crossover(a: Bins, b: Bins, size: list[int], capacity: int, draw: random.Random) -> Bins:
     fill = [sum(size[i] for i in x) for x in a]
     ranked = sorted(range(len(a)), key=lambda k: -fill[k])
-    inject = [a[k] for k in ranked[: max(1, len(a) // 2)] if fill[k] == capacity or draw.random() < 0.7]
-    held = {i for x in inject for i in x}
-    bins, displaced = [list(x) for x in inject], []
+    inject = [k for k in ranked[: max(1, len(a) // 2)] if fill[k] == capacity or draw.random() < 0.7]
+    held = {i for k in inject for i in a[k]}
+    bins, room, displaced = [list(a[k]) for k in inject], [capacity - fill[k] for k in inject], []
     for x in b:
         if held.isdisjoint(x):
             bins.append(list(x))
+            room.append(capacity - sum(size[i] for i in x))
         else:
             displaced += [i for i in x if i not in held]
-    room = [capacity - sum(size[i] for i in x) for x in bins]
-    best_fit(sorted(displaced, key=lambda i: (-size[i], i)), size, bins, room, capacity)
+    settle(displaced, size, bins, room, capacity)
     return bins
 
 
 def mutate(bins: Bins, size: list[int], capacity: int, draw: random.Random, n: int = 6) -> Bins:
-    """Break the emptiest bins and a few others, best-fit their documents again."""
-    ranked = sorted(range(len(bins)), key=lambda k: sum(size[i] for i in bins[k]))
+    """Break the emptiest bins and a few others, place their documents again."""
+    fill = [sum(size[i] for i in b) for b in bins]
+    ranked = sorted(range(len(bins)), key=fill.__getitem__)
     gone = {*ranked[:n], *draw.sample(range(len(bins)), min(n, len(bins)))}
-    kept = [list(x) for k, x in enumerate(bins) if k not in gone]
-    loose = [i for k in gone for i in bins[k]]
-    draw.shuffle(loose)
-    room = [capacity - sum(size[i] for i in x) for x in kept]
-    best_fit(loose, size, kept, room, capacity)
-    return kept
+    kept = [k for k in range(len(bins)) if k not in gone]
+    out, room = [list(bins[k]) for k in kept], [capacity - fill[k] for k in kept]
+    settle([i for k in gone for i in bins[k]], size, out, room, capacity)
+    return out
 
 
 def evolve(size: list[int], seeds: list[Bins], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
     """The best packing that an island finds from its seeds and fresh individuals."""
     draw, bound = random.Random(seed), lower_bound(size, capacity)
     order = sorted(range(len(size)), key=lambda i: (-size[i], i))
-    herd = [*seeds, fill_by_pairs(size, capacity)]
-    if len(herd[-1]) <= bound:
-        return herd[-1]
-    while len(herd) < population:
-        bins: Bins = []
-        noisy = order if len(herd) == len(seeds) + 1 else sorted(order, key=lambda i: -size[i] * draw.uniform(0.9, 1.0))
-        best_fit(noisy, size, bins, [], capacity)
-        herd.append(bins)
-        if len(bins) <= bound:
-            return bins
-    herd.sort(key=lambda x: fitness(x, size))
-    for _ in range(generations):
-        if len(herd[0]) <= bound:
+    herd = list(seeds)
+    if not seeds:
+        herd.append(fill_by_pairs(size, capacity))
+        while len(herd) < population:
+            bins: Bins = []
+            noisy = order if len(herd) == 1 else sorted(order, key=lambda i: -size[i] * draw.uniform(0.9, 1.0))
+            best_fit(noisy, size, bins, [], capacity)
+            herd.append(bins)
+    ranked = sorted(((fitness(x, size), k, x) for k, x in enumerate(herd)), key=lambda x: x[:2])
+    for g in range(generations):
+        a, b = draw.sample(ranked, 2) if len(ranked) > 1 else ranked * 2
+        fresh = [crossover(a[2], b[2], size, capacity, draw), mutate(ranked[0][2], size, capacity, draw)]
+        ranked = sorted([*ranked, *((fitness(x, size), population + 2 * g + k, x) for k, x in enumerate(fresh))], key=lambda x: x[:2])[:population]
+        if ranked[0][0][0] <= bound:
             break
-        child = crossover(*draw.sample(herd, 2), size, capacity, draw)
-        herd = sorted([*herd, child, mutate(herd[0], size, capacity, draw)], key=lambda x: fitness(x, size))[:population]
-    return herd[0]
+    return ranked[0][2]
 
 
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ITEMS = [x.split()[0] for x in _ITEM.split(", ")]
+_STATE = "shard long, island int, n_bins long, squares long, sizes array<int>, bins array<int>"
 
 
-def _state_schema() -> str:
-    fields = ",".join(":".join(x.split()) for x in _ITEM.split(", "))
-    return f"shard long, island int, n_bins long, squares long, items array<struct<{fields}>>, bins array<int>"
-
-
-def _packed(key: tuple, items: list[tuple], bins: Bins) -> pd.DataFrame:
-    size = [x[3] for x in items]
-    place = [0] * len(items)
+def _state(key: tuple, size: list[int], bins: Bins) -> pa.Table:
+    place = [0] * len(size)
     for k, b in enumerate(bins):
         for i in b:
             place[i] = k
     n, squares = fitness(bins, size)
-    rows = [dict(zip(_ITEMS, x)) for x in items]
-    return pd.DataFrame({"shard": [key[0]], "island": [key[1]], "n_bins": [n], "squares": [squares], "items": [rows], "bins": [place]})
+    lists = [pa.array([x], pa.list_(pa.int32())) for x in (size, place)]
+    shard, island = (x.as_py() for x in key)
+    return pa.table([pa.array([shard], pa.int64()), pa.array([island], pa.int32()), pa.array([n], pa.int64()), pa.array([squares], pa.int64()), *lists], names=[x.split()[0] for x in _STATE.split(", ")])
 
 
 def _shards(small: DataFrame, capacity: int, shard_items: int, islands: int, epochs: int, shards: int, seed: int) -> DataFrame:
-    """shard, bin and the item's columns: every shard's best packing."""
+    """shard, bin and the item's columns: every shard's best packing. Only lengths travel through the epochs."""
     dealt = small.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(shards)))
+    number = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")) - 1
+    items = materialize(dealt.withColumn("item", number.cast("int")), "items")
 
-    def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(g[_ITEMS].itertuples(index=False, name=None))
-        bins = evolve([x[3] for x in items], [], seed + 1000 * int(key[0]) + int(key[1]), capacity)
-        return _packed(key, items, bins)
+    def first(key: tuple, g: pa.Table) -> pa.Table:
+        size = g["length"].to_numpy()[np.argsort(g["item"].to_numpy())].tolist()
+        return _state(key, size, evolve(size, [], seed + 1000 * key[0].as_py() + key[1].as_py(), capacity))
 
-    def next_epoch(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        items = [tuple(x[c] for c in _ITEMS) for x in g["items"].iloc[0]]
-        elites = []
-        for place in g["bins"]:
-            bins: Bins = [[] for _ in range(int(max(place)) + 1)]
+    def next_epoch(key: tuple, g: pa.Table) -> pa.Table:
+        size, elites = g["sizes"][0].as_py(), []
+        for place in g.sort_by([("n_bins", "ascending"), ("squares", "ascending")])["bins"].to_pylist():
+            bins: Bins = [[] for _ in range(max(place) + 1)]
             for i, b in enumerate(place):
                 bins[b].append(i)
             elites.append(bins)
-        size = [int(x[3]) for x in items]
-        return _packed(key, items, evolve(size, elites, seed + 7 + 1000 * int(key[0]) + int(key[1]), capacity))
+        return _state(key, size, evolve(size, elites, seed + 7 + 1000 * key[0].as_py() + key[1].as_py(), capacity))
 
-    schema = _state_schema()
-    state = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-    state = state.groupBy("shard", "island").applyInPandas(first, schema)
+    state = items.select("shard", "item", "length", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    state = state.groupBy("shard", "island").applyInArrow(first, _STATE)
     for _ in range(epochs - 1):
         ring = F.explode(F.array_distinct(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))))
-        state = state.withColumn("island", ring).groupBy("shard", "island").applyInPandas(next_epoch, schema)
-    best = state.groupBy("shard").agg(F.min_by(F.struct("items", "bins"), F.struct("n_bins", "squares", "island")).alias("s"))
-    each = best.select("shard", F.explode(F.arrays_zip(F.col("s.items").alias("item"), F.col("s.bins").alias("bin"))).alias("z"))
-    return each.select("shard", F.col("z.bin").alias("bin"), "z.item.*")
+        state = state.withColumn("island", ring).groupBy("shard", "island").applyInArrow(next_epoch, _STATE)
+    best = state.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", "squares", "island")).alias("bins"))
+    return items.join(best.select("shard", F.posexplode("bins").alias("item", "bin")), ["shard", "item"]).select("shard", "bin", *_ITEMS)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    from pyspark.sql import Window
-
     cut = materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
     small = cut.where(F.col("length") < capacity)
     n = small.count()

@@ -169,6 +169,46 @@ def test_genetic_moves_keep_every_item_once():
     assert packing.lower_bound(size, 1024) <= len(packing.evolve(size, [], 1)) <= len(second)
 
 
+def test_swaps_fill_bins():
+    size = [600, 500, 300, 124, 424, 700]
+    bins, room = [[0, 2], [1]], [124, 524]
+    loose = packing.swap_in([4, 5, 3], size, bins, room)
+    assert bins == [[0, 4], [5]] and room == [0, 324] and sorted(loose) == [1, 2, 3]
+
+
+def test_generations_lower_the_number_of_bins():
+    """Triples that fill bins exactly, which best fit does not find."""
+    rnd, size = random.Random(12), []
+    for _ in range(60):
+        a, b = rnd.randint(260, 400), rnd.randint(260, 360)
+        size += [a, b, 1024 - a - b]
+    size.sort(reverse=True)
+    first = []
+    packing.best_fit(list(range(180)), size, first, [], 1024)
+    best = packing.evolve(size, [first], 3, generations=60)
+    assert packing.lower_bound(size, 1024) == 60 <= len(best) < len(first)
+
+
+def test_lower_bound_by_brute_force():
+    rnd = random.Random(5)
+    for _ in range(200):
+        size = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 7))]
+
+        def fits(rest, bins):
+            if not rest:
+                return True
+            tried = set()
+            for k, room in enumerate(bins):
+                if room >= rest[0] and room not in tried:
+                    tried.add(room)
+                    if fits(rest[1:], [*bins[:k], room - rest[0], *bins[k + 1 :]]):
+                        return True
+            return False
+
+        least = next(n for n in range(1, 8) if fits(sorted(size, reverse=True), [20] * n))
+        assert -(-sum(size) // 20) <= packing.lower_bound(size, 20) <= least
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_mixing_equals_sql(spark, sf):
     con = duckdb.connect()
