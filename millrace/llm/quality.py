@@ -174,8 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most sample_rows rows of 12 bytes
     stats = statistics(F.col("text"))
-    got = rows.select("_id", "_y", *(stats[c].cast("double").alias(c) for c in NAMES)).limit(sample_rows).toPandas()
-    got = got.sort_values(["_id", *NAMES])
+    rows = rows.select("_id", "_y", *(stats[c].cast("double").alias(c) for c in NAMES))
+    # of rows that repeat an id the one with the least statistics, whatever order they come in
+    one = rows.groupBy("_id", "_y").agg(F.min(F.struct(*NAMES)).alias("s"))
+    got = one.select("_id", "_y", "s.*").toPandas().sort_values("_id")  # at most sample_rows rows
     return fit(got[list(NAMES)].to_numpy(np.float64), (got["_y"].to_numpy() > 0).astype(np.float64))
 
 

@@ -30,7 +30,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"))
+    pages, docs, labels = (table(spark, sf_dir, name) for name in ("pages", "documents", "labels"))
+    return url_filters.judge(url_filters.labelled(pages, docs, labels), label="bad")
 
 
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

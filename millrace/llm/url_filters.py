@@ -4,8 +4,10 @@ Paths are cut into segments, runs of digits in them become one sign, and pages a
 follows works on these counts. Level by level, a child of a tree node stays literal if it holds enough of the node's
 pages, else it becomes the wildcard. Literal siblings are merged where their labelled block rates do not differ
 significantly. A template's block probability is its labelled share, smoothed towards its host's, which is smoothed
-towards that of all pages; a template without labelled pages of its own, or one below the threshold, is allowed.
-Labels are a column (1 bad, 0 good, null unknown); the query takes the verdicts of its rules as labels.
+towards that of all pages; so a template without labelled pages has its host's. Templates that reach the threshold are
+blocked. Labels are a column (1 bad, 0 good, null unknown). The verdicts of rules are no labels: they follow from the
+path alone, and would convict the pages beside them. The query labels each page by what it holds: the quality
+classifier, learnt from labelled documents, scores the page's visible text.
 
 Null urls and urls without `://` have an empty host and path, fit no rule and are allowed. Repeated rows are kept; an
 empty table gives no rows; other columns are ignored.
@@ -16,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from . import quality
+from .common import checkpoint, materialize, spread_join
 
 # The rules as (verdict, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -53,7 +56,7 @@ def shape_of(path: Column) -> Column:
 
 
 def templates(pages: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, shape, template, block (probability) of each shape; pages: host, path, bad (1, 0 or null)."""
+    """host, shape, template, block (probability) and n (pages) of each shape; pages: host, path, bad (1, 0 or null)."""
     shapes = pages.groupBy("host", shape_of(pages["path"]).alias("shape")).agg(
         F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
@@ -85,18 +88,31 @@ def templates(pages: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAG
     hosts = shapes.groupBy("host").agg(F.sum("known").alias("hk"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(total))  # one row
     hosts = hosts.select("host", ((F.col("hb") + ALL_PRIOR * F.coalesce("overall", F.lit(0.0))) / (F.col("hk") + ALL_PRIOR)).alias("host_rate"))
     per = tree.groupBy("host", "template").agg(F.sum("known").alias("tk"), F.sum("bad").alias("tb")).join(hosts, "host")
-    rate = F.when(F.col("tk") > 0, (F.col("tb") + HOST_PRIOR * F.col("host_rate")) / (F.col("tk") + HOST_PRIOR)).otherwise(F.lit(0.0))
+    rate = (F.col("tb") + HOST_PRIOR * F.col("host_rate")) / (F.col("tk") + HOST_PRIOR)
     per = per.select("host", "template", rate.alias("block"))
-    return tree.select("host", "shape", "template").join(per, ["host", "template"])
+    return tree.select("host", "shape", "template", "n").join(per, ["host", "template"])
 
 
-def judge(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
-    """page_id, host, path, rule, template and verdict of every page."""
+def visible_text(html: Column) -> Column:
+    """The text between tags, without scripts, styles and comments."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+
+
+def labelled(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, url and bad of every page: 1 where the quality classifier rejects its visible text, null without html."""
+    rows = pages.select("page_id", "url", pages["html"].isNotNull().alias("known"), visible_text(pages["html"]).alias("text"))
+    scored = quality.with_score(rows, quality.train(docs, labels))
+    return scored.select("page_id", "url", F.when(F.col("known"), (F.col("score") < quality.THRESHOLD).cast("long")).alias("bad"))
+
+
+def judge(pages: DataFrame, rules=RULES, reject: float = REJECT, label: str | None = None) -> DataFrame:
+    """page_id, host, path, rule, template and verdict of every page; `label` names the column of labels, if there is one."""
     host, path = host_and_path(pages["url"])
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    bad = pages[label].cast("long") if label else F.lit(None).cast("long")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), bad.alias("bad"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
+    rows = materialize(rows, "urls")
     ruled = verdict_of_rule(F.col("rule"), rules)
-    known = rows.select("host", "path", F.when(ruled == "block", 1).when(ruled == "allow", 0).cast("long").alias("bad"))
-    rows = rows.join(templates(known), ["host", "shape"], "left")
+    rows = spread_join(rows, materialize(templates(rows.select("host", "path", "bad")), "templates"), ["host", "shape"], "n")
     verdict = F.coalesce(ruled, F.when(F.col("block") >= reject, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
