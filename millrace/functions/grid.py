@@ -9,8 +9,8 @@ from .color import quotient
 
 
 def reflect(i: Column, n: Column) -> Column:
-    """An index one step beyond either end, mirrored back."""
-    return F.abs(i - F.when(i >= n, i - n + 2).otherwise(F.lit(0)))
+    """An index one step beyond either end of n >= 2 places, mirrored back."""
+    return (n - 1) - F.abs((n - 1) - F.abs(i))
 
 
 def tile_position(x: Column, y: Column, width: int, tile: int) -> Column:

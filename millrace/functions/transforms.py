@@ -11,10 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .color import quotient
-
-
-def _mirror(i: Column, n: Column) -> Column:
-    return F.abs(i - F.when(i >= n, i - n + 2).otherwise(F.lit(0)))
+from .grid import reflect
 
 
 def _let(value: Column, body) -> Column:
@@ -27,11 +24,11 @@ def forward(a: Column) -> Column:
 
     def lifted(a: Column) -> Column:
         n = F.size(a)
-        at = lambda i: F.get(a, _mirror(i, n))
+        at = lambda i: F.get(a, reflect(i, n))
         high = F.transform(F.sequence(F.lit(0), quotient(n, 2) - 1), lambda k: F.get(a, 2 * k + 1) - quotient(at(2 * k) + at(2 * k + 2), 2))
 
         def with_high(high: Column) -> Column:
-            detail = lambda i: F.get(high, quotient(_mirror(i, n), 2))
+            detail = lambda i: F.get(high, quotient(reflect(i, n), 2))
             low = F.transform(F.sequence(F.lit(0), n - quotient(n, 2) - 1), lambda k: F.get(a, 2 * k) + quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
             return F.concat(low, high)
 
@@ -44,11 +41,11 @@ def inverse(d: Column) -> Column:
     def unlifted(d: Column) -> Column:
         n = F.size(d)
         half = n - quotient(n, 2)
-        detail = lambda i: F.get(d, half + quotient(_mirror(i, n), 2))
+        detail = lambda i: F.get(d, half + quotient(reflect(i, n), 2))
         even = F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.get(d, k) - quotient(detail(2 * k - 1) + detail(2 * k + 1) + 2, 4))
 
         def with_even(even: Column) -> Column:
-            near = lambda i: F.get(even, quotient(_mirror(i, n), 2))
+            near = lambda i: F.get(even, quotient(reflect(i, n), 2))
             odd = lambda i: F.get(d, half + quotient(i, 2)) + quotient(near(i - 1) + near(i + 1), 2)
             return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 2 == 0, F.get(even, quotient(i, 2))).otherwise(odd(i)))
 
@@ -120,7 +117,8 @@ LUMA = (
 )
 CHROMA = (
     17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
-    *([99] * 32),
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 )
 
 

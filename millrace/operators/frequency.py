@@ -23,7 +23,7 @@ def apportion(counts: DataFrame, total: int = TOTAL) -> DataFrame:
     per = Window.partitionBy("stream")
     f = (F.col("cnt") * total).cast("float").cast("double") / F.sum("cnt").over(per).cast("float").cast("double")
     rows = counts.where("cnt > 0").withColumn("f", f.cast("float")).withColumn("d", F.floor("f"))
-    square = (F.col("f").cast("double") * F.col("f").cast("double")).cast("float")
+    square = F.col("f").cast("double") * F.col("f").cast("double")  # of the single-precision share, in double
     share = F.greatest(F.lit(1), F.when(square <= F.col("d") * (F.col("d") + 1), F.col("d")).otherwise(F.col("d") + 1))
     rows = rows.withColumn("share", share).withColumn("error", F.lit(total) - F.sum("share").over(per))
     rows = rows.withColumn("s", F.signum("error").cast("int"))
@@ -47,7 +47,7 @@ def apportion_array(counts: np.ndarray, total: int = TOTAL) -> np.ndarray:
     c = counts[used]
     f = (c * total).astype(np.float32) / np.float32(c.sum())
     d = np.floor(f).astype(np.int64)
-    h = np.maximum(1, np.where(f * f <= (d * (d + 1)).astype(np.float32), d, d + 1))
+    h = np.maximum(1, np.where(f.astype(np.float64) ** 2 <= d * (d + 1), d, d + 1))
     error = int(total - h.sum())
     if error:
         s, j = int(np.sign(error)), np.arange(abs(error))

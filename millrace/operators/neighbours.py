@@ -1,7 +1,8 @@
 """Exact, radius, paged and approximate nearest neighbours of a stated query set.
 
-Queries are copied to every part of the candidates, which are dealt by a hash: an equi join on the part, each task
-holding a share of the candidates. Nothing is broadcast, and the first k of each part are kept before the final rank.
+Queries are copied to every part of the candidates, which are dealt by a hash into as many parts as there are shuffle
+partitions: an equi join on the part, each task holding a share of the candidates. Spark broadcasts the queries only
+where they are below its threshold; the first k of each part are kept before the final rank.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, parts: int = 16) -> DataFrame:
+def pairs(queries: DataFrame, candidates: DataFrame, parts: int | None = None) -> DataFrame:
     """query_id, q, id, v: every query with every candidate but itself; both hold id (long) and vec."""
+    parts = parts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     c = candidates.select("id", F.col("vec").alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
     return q.join(c, "part").where("query_id <> id").drop("part")

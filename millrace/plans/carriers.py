@@ -17,17 +17,23 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where("c <> ''").select("lang", F.ascii("c").bitwiseAND(255).alias("sym"))
 
 
-def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """p, x, y, w: a raster of 16-bit words from the events, row by row."""
+def pixels(spark: SparkSession, sf: str, lines: int = 0) -> DataFrame:
+    """p, x, y, w: a raster of 16-bit words from the events, row by row; with zeros to a multiple of `lines` rows."""
     v = F.abs(F.floor(F.col("value") * 100)).cast("long")
-    p = F.col("event_id").cast("long")
-    return table(spark, sf, "events").select(p.alias("p"), (p % WIDTH).cast("int").alias("x"), quotient(p, WIDTH).alias("y"), (v % 65536).cast("int").alias("w"))
+    rows = table(spark, sf, "events").select(F.col("event_id").cast("long").alias("p"), (v % 65536).cast("int").alias("w"))
+    if lines:
+        area = WIDTH * lines
+        n = rows.agg((F.max("p") + 1).alias("n")).where(F.col("n") % area != 0)
+        rest = F.explode(F.sequence("n", (F.ceil(F.col("n") / area) * area - 1).cast("long")))
+        rows = rows.unionByName(n.select(rest.alias("p"), F.lit(0).alias("w")))
+    p = F.col("p")
+    return rows.select("p", (p % WIDTH).cast("int").alias("x"), quotient(p, WIDTH).alias("y"), "w")
 
 
-def colours(spark: SparkSession, sf: str) -> DataFrame:
+def colours(spark: SparkSession, sf: str, lines: int = 0) -> DataFrame:
     """p, x, y, r, g, b: 8-bit channels of the same raster."""
     w = F.col("w")
-    return pixels(spark, sf).select("p", "x", "y", (w * 7 % 256).alias("r"), (quotient(w, 3) % 256).alias("g"), (w % 256).alias("b"))
+    return pixels(spark, sf, lines).select("p", "x", "y", (w * 7 % 256).alias("r"), (quotient(w, 3) % 256).alias("g"), (w % 256).alias("b"))
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +57,18 @@ SQL = {
 
 
 def sql(carriers: str, body: str) -> str:
-    """`body` over the named carriers; a body may begin with further expressions, ended by a semicolon."""
-    need = [SQL[c] for c in carriers.split()]
+    """`body` over the named carriers; a body may begin with further expressions, ended by a semicolon.
+
+    `px:8` is the raster with zeros to a multiple of 8 rows.
+    """
+    need = []
+    for c in carriers.split():
+        name, _, lines = c.partition(":")
+        if not lines:
+            need.append(SQL[name])
+            continue
+        area = WIDTH * int(lines)
+        rest = f"select unnest(generate_series(n, (n + {area - 1}) // {area} * {area} - 1)) as p from (select max(event_id) + 1 as n from events) where n % {area} <> 0"
+        need += [SQL[name].replace("px as", "px_given as"), f"px as (select * from px_given union all select p::bigint, (p % 64)::int, (p // 64)::int, 0 from ({rest}))"]
     extra, _, last = body.rpartition(";")
     return "with " + ", ".join([*need, *([extra.strip()] if extra.strip() else [])]) + " " + last.strip()

@@ -36,7 +36,7 @@ def query(carriers: str = "", sql: str | None = None):
 COUNTS = "counts as (select lang as stream, sym, count(*) as cnt from symbols group by all)"
 FREQ = COUNTS + """,
 shares as (select *, ((cnt * 2048)::float::double / sum(cnt) over (partition by stream)::float::double)::float as f from counts),
-rounded as (select *, greatest(1, case when (f::double * f::double)::float <= floor(f) * (floor(f) + 1) then floor(f) else floor(f) + 1 end)::bigint as share from shares),
+rounded as (select *, greatest(1, case when f::double * f::double <= floor(f) * (floor(f) + 1) then floor(f) else floor(f) + 1 end)::bigint as share from shares),
 errors as (select *, (2048 - sum(share) over (partition by stream))::bigint as error from rounded),
 steps as (select stream, sym, cnt, share, error, sign(error)::int as s, unnest(generate_series(0, abs(error) - 1)) as j from errors where error <> 0),
 costs as (select *, round(cnt * log2((share + s * j) / (share + s * j + s)::double), 9) as cost from steps where s > 0 or share + s * j > 1),
@@ -282,7 +282,7 @@ def predict_med(spark, sf):
     return _near(spark, sf).select("p", color.predict_med(F.col("d"), F.col("u"), F.col("l")).alias("guess"))
 
 
-@query("px rgb", NEAR + ", g as (select *, abs(d - u) as mb, abs(d - l) as mc from m); select p, least(255, greatest(0, case when abs(mb - mc) < 4 and mb < 4 then l + u - d when abs(mb - mc) < 10 then (l + u) // 2 when abs(mb - mc) < 64 then case when mb < mc then (3 * l + u) // 4 else (l + 3 * u) // 4 end when mb < mc then l else u end)) as guess from g")
+@query("px rgb", NEAR + ", g as (select *, abs(d - u) as dx, abs(abs(d - u) - abs(d - l)) as gap, l + u as pair, case when abs(d - u) < abs(d - l) then l else u end as nearer from m); select p, least(255, greatest(0, case when gap >= 64 then nearer when gap >= 10 then (2 * nearer + pair) // 4 when gap >= 4 or dx >= 4 then pair // 2 else pair - d end)) as guess from g")
 def predict_gradients(spark, sf):
     return _near(spark, sf).select("p", color.predict_by_gradients(F.col("d"), F.col("u"), F.col("l")).alias("guess"))
 
@@ -334,8 +334,12 @@ def pad_stream(spark, sf):
 
 @query("px rgb", "select ((y // 4) * 16 + x // 4)::int as block, (y % 4) * 4 + x % 4 as k, r, g, b from rgb")
 def block_gather(spark, sf):
+    return _gathered(C.colours(spark, sf))
+
+
+def _gathered(px):
     x, y = F.col("x"), F.col("y")
-    return C.colours(spark, sf).select(grid.block_number(x, y, C.WIDTH).alias("block"), grid.place_in_block(x, y).alias("k"), "r", "g", "b")
+    return px.select(grid.block_number(x, y, C.WIDTH).alias("block"), grid.place_in_block(x, y).alias("k"), "r", "g", "b")
 
 
 # -- blocks and metrics -----------------------------------------------------------------------------------------------
@@ -395,9 +399,9 @@ def block_expand_palette(spark, sf):
     return rows.select("p", ar.alias("c0"), br.alias("c1"), third.alias("c2"), F.when(four, color.lerp(ar, br, 2, 3)).otherwise(0).alias("c3"))
 
 
-@query("px", "w16 as (select p // 16 as block, p % 16 as k, w % 4 as s from px), words as (select block, sum(s::bigint << (2 * k)::int)::bigint as word, count(*) as n from w16 group by block); select word, count(*) as cnt from words where n = 16 group by word order by cnt desc, word limit 100")
+@query("px:1", "w16 as (select p // 16 as block, p % 16 as k, w % 4 as s from px), words as (select block, sum(s::bigint << (2 * k)::int)::bigint as word, count(*) as n from w16 group by block); select word, count(*) as cnt from words where n = 16 group by word order by cnt desc, word limit 100")
 def count_blocks(spark, sf):
-    px = C.pixels(spark, sf).withColumn("block", F.expr("p div 16")).withColumn("s", (F.col("w") % 4).cast("long"))
+    px = C.pixels(spark, sf, 1).withColumn("block", F.expr("p div 16")).withColumn("s", (F.col("w") % 4).cast("long"))
     words = px.groupBy("block").agg(F.sum(F.expr("shiftleft(s, cast(2 * (p % 16) as int))")).alias("word"), F.count("*").alias("n")).where("n = 16")
     return neighbours.most_used(words, "word", 100)
 
@@ -406,15 +410,15 @@ def count_blocks(spark, sf):
 
 
 def _tiles(spark, sf, size: int):
-    """tile, rows (array of arrays) of whole square tiles of the raster's red channel."""
-    px = C.colours(spark, sf)
+    """tile, a: square tiles of the raster's red channel, the last ones filled up with zeros."""
+    px = C.colours(spark, sf, size)
     tile = (color.quotient(F.col("y"), size) * (C.WIDTH // size) + color.quotient(F.col("x"), size)).alias("tile")
     place = (F.col("y") % size * size + F.col("x") % size).alias("k")
     t = px.select(tile, place, F.col("r").alias("v")).groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("a")).where(F.size("a") == size * size)
     return t.select("tile", F.transform("a", lambda s: s["v"]).alias("a"))
 
 
-@query("px rgb", "t as (select ((y // 8) * 8 + x // 8)::int as tile, (y % 8)::int as i, (x % 8)::int as j, r as v from rgb), full_ as (select * from t where tile in (select tile from t group by tile having count(*) = 64)), "
+@query("px:8 rgb", "t as (select ((y // 8) * 8 + x // 8)::int as tile, (y % 8)::int as i, (x % 8)::int as j, r as v from rgb), full_ as (select * from t where tile in (select tile from t group by tile having count(*) = 64)), "
        "ch as (select *, case when i % 2 = 1 then v - (lag(v) over c + coalesce(lead(v) over c, lag(v) over c)) // 2 end as h from full_ window c as (partition by tile, j order by i)), "
        "cl as (select tile, j, case when i % 2 = 1 then 4 + i // 2 else i // 2 end as i, case when i % 2 = 1 then h else v + (coalesce(lag(h) over c, lead(h) over c) + coalesce(lead(h) over c, lag(h) over c) + 2) // 4 end as v from ch window c as (partition by tile, j order by i)), "
        "rh as (select *, case when j % 2 = 1 then v - (lag(v) over c + coalesce(lead(v) over c, lag(v) over c)) // 2 end as h from cl window c as (partition by tile, i order by j)), "
@@ -422,14 +426,14 @@ def _tiles(spark, sf, size: int):
 def wavelet2d_tile(spark, sf):
     """Columns, then rows, each by window functions: no arrays, and a task holds a share of the tiles."""
     x, y = F.col("x"), F.col("y")
-    px = C.colours(spark, sf).select(grid.block_number(x, y, C.WIDTH, 8).alias("tile"), (y % 8).alias("i"), (x % 8).alias("j"), F.col("r").alias("v"))
+    px = C.colours(spark, sf, 8).select(grid.block_number(x, y, C.WIDTH, 8).alias("tile"), (y % 8).alias("i"), (x % 8).alias("j"), F.col("r").alias("v"))
     whole = px.withColumn("n", F.count("*").over(Window.partitionBy("tile"))).where("n = 64").drop("n")
     down = scans.lifted(whole, "v", ["tile", "j"], "i").select("tile", "j", (F.col("band") * 4 + F.col("at")).cast("int").alias("i"), F.col("coef").alias("v"))
     across = scans.lifted(down, "v", ["tile", "i"], "j")
     return across.select("tile", "i", (F.col("band") * 4 + F.col("at")).cast("int").alias("j"), F.col("coef").alias("v"))
 
 
-@query()
+@query("px:32", "select count(*) // 1024 as tiles, 0::bigint as bad from px")
 def wavelet_bad_rows(spark, sf):
     """Tiles of 32x32 through five levels and back: how many there are and how many are not restored."""
 
@@ -445,9 +449,9 @@ def wavelet_bad_rows(spark, sf):
 COSINES = "m as (select k, i, case when k = 0 then sqrt(1.0::double / 8) else sqrt(2.0::double / 8) end * cos((2 * i + 1) * k * pi() / 16) as c from range(8) a(k), range(8) b(i))"
 
 
-@query("px rgb", COSINES + ", row_ as (select p // 8 as n, p % 8 as i, r as v from rgb), whole as (select n from row_ group by n having count(*) = 8); select row_.n::bigint as n, m.k::int as k, round(sum(m.c * row_.v), 6) as coef from row_ join whole using (n) join m using (i) group by row_.n, m.k")
+@query("px:1 rgb", COSINES + ", row_ as (select p // 8 as n, p % 8 as i, r as v from rgb), whole as (select n from row_ group by n having count(*) = 8); select row_.n::bigint as n, m.k::int as k, round(sum(m.c * row_.v), 6) as coef from row_ join whole using (n) join m using (i) group by row_.n, m.k")
 def dct8_rows(spark, sf):
-    rows = C.colours(spark, sf).groupBy(F.expr("p div 8").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.expr("p % 8").alias("i"), "r"))).alias("a")).where(F.size("a") == 8)
+    rows = C.colours(spark, sf, 1).groupBy(F.expr("p div 8").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.expr("p % 8").alias("i"), "r"))).alias("a")).where(F.size("a") == 8)
     out = rows.select("n", F.posexplode(transforms.dct_row(F.transform("a", lambda s: s["r"]))).alias("k", "coef"))
     return out.select("n", "k", (F.round("coef", 6) + F.lit(0.0)).alias("coef"))
 
@@ -473,7 +477,7 @@ def quant_chroma(spark, sf):
     return _quantised(spark, sf, transforms.CHROMA)
 
 
-@query()
+@query("px:8", "select count(*) // 64 as tiles, 0.0::double as gap from px")
 def dct_tile_round_trip(spark, sf):
     """8x8 tiles transformed, and back; the largest difference, rounded."""
 
@@ -488,12 +492,12 @@ def dct_tile_round_trip(spark, sf):
 
 # -- vectors ----------------------------------------------------------------------------------------------------------
 
-PAIR = "qs as (select id as query_id, vec as q from pts where id % 50 = 0), ds as (select query_id, id, q, vec as v, round(sqrt(list_sum(list_transform(list_zip(q, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) as dist from qs, pts where query_id <> id)"
+PAIR = "qs as (select id as query_id, vec as q from pts where id % 20 = 0), ds as (select query_id, id, q, vec as v, round(sqrt(list_sum(list_transform(list_zip(q, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) as dist from qs, pts where query_id <> id)"
 
 
 def _queries(spark, sf):
     p = C.points(spark, sf)
-    return p.where("id % 50 = 0"), p
+    return p.where("id % 20 = 0"), p
 
 
 def _distance_query(name, p, expr):
@@ -502,7 +506,7 @@ def _distance_query(name, p, expr):
         return neighbours.distances(a, b, p, 6)
 
     f.__name__ = name
-    query("pts", f"qs as (select id as query_id, vec as q from pts where id % 50 = 0); select query_id, id, round({expr}, 6) as dist from qs, pts where query_id <> id")(f)
+    query("pts", f"qs as (select id as query_id, vec as q from pts where id % 20 = 0); select query_id, id, round({expr}, 6) as dist from qs, pts where query_id <> id")(f)
 
 
 _distance_query("l1_dist", 1, "list_sum(list_transform(list_zip(q, vec), lambda z: abs(z[1] - z[2])))")
@@ -522,7 +526,7 @@ def unit_vectors(spark, sf):
     return C.points(spark, sf).select("id", F.posexplode(vectors.unit(F.col("vec"))).alias("dim", "u")).withColumn("u", F.round("u", 6))
 
 
-@query("pts", "qs as (select id as query_id, vec as q from pts where id % 50 = 0); select query_id, id, round(list_sum(list_transform(list_zip(q, vec), lambda z: z[1] * z[2])), 6) as dot from qs, pts where query_id <> id")
+@query("pts", "qs as (select id as query_id, vec as q from pts where id % 20 = 0); select query_id, id, round(list_sum(list_transform(list_zip(q, vec), lambda z: z[1] * z[2])), 6) as dot from qs, pts where query_id <> id")
 def dot_product(spark, sf):
     return neighbours.pairs(*_queries(spark, sf)).select("query_id", "id", F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("dot"))
 
@@ -540,9 +544,9 @@ def knn_exact(spark, sf):
     return neighbours.nearest(*_queries(spark, sf), k=5)
 
 
-@query("pts", PAIR + "; select query_id, id, dist from ds where dist < 1.0")
+@query("pts", PAIR + "; select query_id, id, dist from ds where dist < 1.2")
 def knn_radius(spark, sf):
-    return neighbours.within(*_queries(spark, sf), radius=1.0)
+    return neighbours.within(*_queries(spark, sf), radius=1.2)
 
 
 @query("pts", KNN + "; select * from rk where rank > 20 and rank <= 30")
@@ -743,8 +747,8 @@ def container_header(spark, sf):
 
 
 def _block_table(spark, sf):
-    """block, px (16 x 3 bytes) of the whole blocks of the events' raster."""
-    rows = block_gather(spark, sf).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "r", "g", "b"))).alias("a")).where(F.size("a") == 16)
+    """block, px (16 x 3 bytes) of the blocks of the events' raster, the last ones filled up with zeros."""
+    rows = _gathered(C.colours(spark, sf, 4)).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", "r", "g", "b"))).alias("a")).where(F.size("a") == 16)
     return rows.select("block", F.flatten(F.transform("a", lambda s: F.array(s["r"], s["g"], s["b"]))).alias("px"))
 
 
@@ -814,7 +818,7 @@ def reassign_selectors(spark, sf):
     return best.select("block", "m.ep1", "m.ep2", "m.sel", "m.old")
 
 
-@query()
+@query("px", "select 't' || p as path, greatest(1, (p + 4) >> l)::bigint as width, greatest(1, (p * 2 + 4) >> l)::bigint as height, 'DXT1' as fourcc, l::bigint as level, (((greatest(1, (p + 4) >> l) + 3) // 4) * ((greatest(1, (p * 2 + 4) >> l) + 3) // 4) * 8)::bigint as bytes from px, range(3) r(l)")
 def texture_headers(spark, sf):
     """DDS headers built as binary columns and parsed back, with their mip levels."""
     p = C.pixels(spark, sf).select(F.concat(F.lit("t"), F.col("p")).alias("path"), (F.col("p") + 4).alias("w"), (F.col("p") * 2 + 4).alias("h"))
@@ -824,21 +828,25 @@ def texture_headers(spark, sf):
     return textures.mip_levels(textures.dds_headers(p.select("path", F.concat(*fields).alias("content"))))
 
 
-@query("", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as cnt from events group by all")
+HOURLY = "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as cnt from events group by all"
+
+
+@query("", HOURLY)
 def hourly_counts(spark, sf):
     """The batch form of the streaming count: tumbling windows of one hour."""
     e = C.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("cnt")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "cnt")
 
 
-@query()
+@query("", HOURLY)
 def stream_hourly_counts(spark, sf):
     """The same by Structured Streaming, drained once in complete mode: no window and no late row is left out."""
     import tempfile
     import uuid
 
     at = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()) + f"/stream-{uuid.uuid4().hex}"
-    return streams.drain_complete(streams.windowed_counts(streams.event_stream(spark, sf), late=None), at)
+    rows = streams.drain_complete(streams.windowed_counts(streams.event_stream(spark, sf), late=None), at)
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("", "select lang, source, count(*) as n, sum(n_chars)::bigint as chars from documents group by cube (lang, source)")

@@ -46,10 +46,15 @@ def dds_headers(files: DataFrame) -> DataFrame:
 
 
 def ktx_headers(files: DataFrame) -> DataFrame:
-    """path and the header fields of the KTX files among (path, content), little-endian ones."""
+    """path and the header fields of the KTX files among (path, content), of either byte order."""
     c = F.col("content")
-    rows = files.where((texture_format(c) == "ktx") & (little_endian(c, 12, 4) == 0x04030201))
-    return rows.select("path", *(little_endian(c, at, 4).alias(n) for n, at in KTX_OFFSETS.items()))
+    swapped = little_endian(c, 12, 4) == 0x01020304
+
+    def word(at: int):
+        big = sum((little_endian(c, at + k, 1) * (1 << (24 - 8 * k)) for k in range(4)), F.lit(0))
+        return F.when(swapped, big).otherwise(little_endian(c, at, 4))
+
+    return files.where(texture_format(c) == "ktx").select("path", *(word(at).alias(n) for n, at in KTX_OFFSETS.items()))
 
 
 def mip_levels(headers: DataFrame) -> DataFrame:
@@ -73,8 +78,11 @@ def dxt_records(files: DataFrame) -> DataFrame:
 
 
 def raster_images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, width, height and RGB bytes of PNG, JPEG, BMP and GIF files; Spark's image source has them as BGR."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """image_id, width, height and RGB bytes of PNG, JPEG, BMP and GIF files; Spark's image source has them as BGR.
+
+    A file that cannot be decoded keeps its row, with no bytes and sides of -1.
+    """
+    images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
 
     def run(batches):
         import pyarrow as pa
@@ -82,6 +90,9 @@ def raster_images(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             out = []
             for raw, n in zip(b["data"].to_pylist(), b["nChannels"].to_pylist()):
+                if n <= 0:
+                    out.append(None)
+                    continue
                 px = np.frombuffer(raw, np.uint8).reshape(-1, n)
                 out.append((px[:, [2, 1, 0]] if n >= 3 else np.repeat(px, 3, axis=1)).tobytes())
             yield pa.RecordBatch.from_arrays([b["origin"], b["width"], b["height"], pa.array(out, pa.binary())], ["image_id", "width", "height", "rgb"])

@@ -12,7 +12,8 @@ from millrace.functions import bits, color, transforms, vectors
 from millrace.operators import blocks, codec, entropy, frequency, neighbours, scans
 from millrace.sources import textures
 
-GOLDEN = [([1, 0, 2, 1], 256, [64, 0, 128, 64]), ([1, 1, 2], 256, [64, 64, 128]), (list(range(1, 11)), 256, [5, 9, 14, 19, 23, 28, 33, 37, 42, 46]), (list(range(1, 11)), 11, [1] * 9 + [2]), ([7] * 10, 70, [7] * 10)]
+# Counts, total and frequencies of the public tests; the last row tells double from single squares.
+GOLDEN = [([1, 0, 2, 1], 256, [64, 0, 128, 64]), ([1, 1, 2], 256, [64, 64, 128]), (list(range(1, 11)), 256, [5, 9, 14, 19, 23, 28, 33, 37, 42, 46]), (list(range(1, 11)), 11, [1] * 9 + [2]), ([7] * 10, 70, [7] * 10), ([11364, 178763, 178761, 178761], 2048, [43, 669, 668, 668])]
 
 
 @pytest.mark.parametrize("counts,total,want", GOLDEN)
@@ -37,6 +38,7 @@ def test_apportion_sums(counts):
 
 
 def test_wavelet_goldens():
+    # Signals and tiles of the public tests.
     assert transforms.lift(np.array([10, 11, 12, 10, 12, 11, 10, 11, 11, 12]), 0).tolist() == [10, 12, 12, 10, 12, 0, -2, 0, 1, 1]
     tile = np.array([[[63, 64, 0, -1], [66, 60, 6, 9], [0, 2, -2, -2], [7, -18, 16, 36]]])
     back = transforms.unlift(transforms.unlift(tile, 2), 1)

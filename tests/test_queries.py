@@ -17,6 +17,7 @@ def test_equals_sql(spark, name):
 def test_runs(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
     assert rows
+    assert not any(r.bad for r in rows if "bad" in r)
     if "ok" in rows[0]:
         assert all(r.ok for r in rows)
 
@@ -26,3 +27,13 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["stream", "slot", "sym", "freq", "cum"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_blocks_hold_every_pixel(spark):
+    """No edge is cut: as many blocks and tiles as cover all events."""
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    lines = -(-n // 64)
+    assert registry.QUERIES["compress_dxt"](spark, SF).count() == -(-lines // 4) * 16
+    assert registry.QUERIES["wavelet2d_tile"](spark, SF).count() == -(-lines // 8) * 8 * 64
+    assert registry.QUERIES["dct8_rows"](spark, SF).count() == lines * 64
+    assert registry.QUERIES["knn_radius"](spark, SF).count() > 0
