@@ -37,7 +37,7 @@ from .common import fresh, materialize, partitions, ship, spread_join
 from .components import components
 
 WORDS, THRESHOLD, KEY_BYTES = 5, 80, 6  # the threshold in hundredths
-BLOCK_BYTES, BUCKET_BYTES, REGION_ROWS = 4 << 20, 24 << 20, 4096
+BLOCK_BYTES, BUCKET_BYTES, REGION_ROWS = 4 << 20, 24 << 20, 1024
 PIVOTS, LEAF_ROWS, MOST_COPIES, MOST_LEVELS = 16, 64, 3, 8
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
