@@ -15,7 +15,12 @@ def test_held_out_accuracy(spark):
     assert len(rows) == 1000
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for d, r in rows.items())
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if rows[r.doc_id].held_out]
-    assert np.mean([rows[r.doc_id].predicted == r.quality for r in labels]) > 0.9
+    right = np.mean([rows[r.doc_id].predicted == r.quality for r in labels])
+    good = np.mean([r.quality for r in labels])
+    assert right > 0.9 and 1 - right < (1 - max(good, 1 - good)) / 4  # a quarter of the errors of the constant answer
+    scores = np.array([rows[r.doc_id].score for r in labels])
+    kind = np.array([r.quality for r in labels]) == 1
+    assert (scores[kind][:, None] > scores[~kind][None, :]).mean() > 0.95
 
 
 def test_compiled_column_equals_the_model(spark):
