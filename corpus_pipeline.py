@@ -15,27 +15,36 @@ from millrace.session import table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rule ensemble does not reject; it learns from the labels of sf_dir."""
+    """The documents that the rule ensemble does not reject; it learns from the labels of sf_dir.
+
+    Null text counts as empty; rows that repeat are judged alike; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that shingle links connect, the one with the smallest id."""
+    """Of each group of documents that shingle links connect, the one with the smallest id.
+
+    Rows without doc_id or without words stay, as do all rows that repeat the id which stays.
+    """
     return near_duplicates.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced."""
+    """Every document stays; secrets in its text are replaced, and n_chars follows. Null text stays null."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
+    """Every document as often as the mix takes it: not at all, once or twice.
+
+    A null source is a source of its own; rows that repeat id, source and size share their copies evenly.
+    """
     return mixing.resample(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens; null text is the end id alone."""
     return packing.pack(docs, public_vocabulary(), end_id=2)
 
 
