@@ -80,3 +80,16 @@ def little_endian(data: Column, at: Column | int, size: int) -> Column:
 def to_little_endian(x: Column, size: int) -> Column:
     """`size` bytes of an unsigned integer, as binary."""
     return F.concat(*(F.unhex(F.lpad(F.hex(field(x.cast("long"), 8 * k, 8)), 2, "0")) for k in range(size)))
+
+
+def write_bits(steps: Column) -> Column:
+    """Binary of an array of (val, nbits): each value's low bits, the least first, fill bytes from their lowest bit.
+
+    The last byte's free bits are zero; no steps give empty binary, a null in a step null.
+    """
+    text = F.aggregate(steps, F.lit(""), lambda acc, s: F.concat(F.right(F.lpad(F.bin(s["val"].cast("long")), 64, "0"), s["nbits"].cast("int")), acc))
+    whole = F.length(text) + F.pmod(-F.length(text), F.lit(8))
+    padded = F.lpad(text, whole.cast("int"), "0")
+    byte = lambda i: F.lpad(F.conv(F.substring(padded, (whole - 7 - 8 * i).cast("int"), F.lit(8)), 2, 16), 2, "0")
+    places = F.sequence(F.lit(0), F.call_function("div", whole, F.lit(8)).cast("int") - 1)
+    return F.when(whole > 0, F.unhex(F.array_join(F.transform(places, byte), ""))).when(whole == 0, F.unhex(F.lit("")))

@@ -29,3 +29,10 @@ def place_in_block(x: Column, y: Column, size: int = 4) -> Column:
 def padded(n: Column, multiple: int) -> Column:
     """The least multiple that is not below n."""
     return quotient(n + (multiple - 1), multiple) * multiple
+
+
+def chunks(width: Column, height: Column, chunk_width: int, chunk_height: int) -> Column:
+    """Array of (n, x, y): the upper left corners of the chunks that cover an image, in rows, with their numbers."""
+    across, down = quotient(width + (chunk_width - 1), chunk_width), quotient(height + (chunk_height - 1), chunk_height)
+    place = lambda n: F.struct(n.alias("n"), (n % across * chunk_width).alias("x"), (quotient(n, across) * chunk_height).alias("y"))
+    return F.when((across > 0) & (down > 0), F.transform(F.sequence(F.lit(0), across * down - 1), place)).otherwise(F.array().cast("array<struct<n:int,x:int,y:int>>"))

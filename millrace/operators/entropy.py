@@ -38,6 +38,11 @@ class Options:
     def total(self) -> int:
         return sum(self.freq)
 
+    @classmethod
+    def filled(cls, freq: tuple[int, ...], b: int = 0, k: int = 0) -> Options:
+        """Options whose zero fields take the least that works: b of 2, k of 1. Others must be valid."""
+        return cls(freq, b or 2, k or 1)
+
 
 def lane_state(symbols: Column, options: Options) -> Column:
     """End state, number of words and their sum of one lane's array of symbols, as a fold in SQL expressions."""
@@ -157,3 +162,45 @@ def decode_shorts(symbols: np.ndarray, aside: np.ndarray) -> np.ndarray:
     out = symbols.astype(np.int8).astype(np.int64)
     out[symbols == 128] = aside
     return out
+
+
+#: Symbols of one 16-bit stream: whole groups whose counts and end offsets stay below 2^16.
+SHORT_LIMIT = 7 * GROUP
+
+
+def encode_short_stream(values: np.ndarray) -> bytes:
+    """The coded stream of up to SHORT_LIMIT values of 16 bits, filled up with zeros to whole groups.
+
+    Little endian: 256 counts, the number of values beyond 127 and these, the number of groups and the bytes of each,
+    16 bits each; then the groups.
+    """
+    values = np.asarray(values, dtype=np.int64)
+    if not len(values) or len(values) > SHORT_LIMIT or values.min() < -(1 << 15) or values.max() >= 1 << 15:
+        raise ValueError(f"1 to {SHORT_LIMIT} values of 16 bits are needed")
+    symbols, aside = encode_shorts(np.pad(values, (0, -len(values) % GROUP)))
+    counts = np.bincount(symbols, minlength=256)
+    raw = encode_stream(symbols)[1]
+    groups = len(symbols) // GROUP
+    ends = np.frombuffer(raw, "<u4", groups).astype(np.int64)
+    sizes = np.diff(ends, prepend=4 * groups)
+    words = [counts, [len(aside)], aside, [groups], sizes]
+    return b"".join(np.asarray(w, dtype=np.int64).astype("<u2").tobytes() for w in words) + raw[4 * groups :]
+
+
+def short_header(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The values set aside, the bytes of each group, and those of the header."""
+    at = 514
+    n = int(np.frombuffer(raw, "<u2", 1, at - 2)[0])
+    aside = np.frombuffer(raw, "<i2", n, at)
+    at += 2 * n + 2
+    groups = int(np.frombuffer(raw, "<u2", 1, at - 2)[0])
+    return aside, np.frombuffer(raw, "<u2", groups, at).astype(np.int64), at + 2 * groups
+
+
+def decode_short_stream(raw: bytes) -> np.ndarray:
+    """The values back, with the zeros that fill the last group."""
+    aside, sizes, head = short_header(raw)
+    freq = apportion_array(np.frombuffer(raw, "<u2", 256).astype(np.int64), TOTAL)
+    ends = 4 * len(sizes) + np.cumsum(sizes)
+    symbols = decode_stream(freq, ends.astype("<u4").tobytes() + raw[head:], len(sizes) * GROUP)
+    return decode_shorts(symbols, aside.astype(np.int64))

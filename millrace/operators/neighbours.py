@@ -7,7 +7,9 @@ where they are below its threshold; the first k of each part are kept before the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -36,6 +38,18 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1, p: float = 2)
     return ranked(distances(queries, candidates, p), k)
 
 
+def nearest_by(queries: DataFrame, candidates: DataFrame, distance: Callable[[Column, Column], Column], k: int = 1, digits: int = 9) -> DataFrame:
+    """The k nearest by the caller's own distance of two array columns; a null distance takes no part."""
+    found = pairs(queries, candidates).select("query_id", "id", F.round(distance(F.col("q"), F.col("v")), digits).alias("dist"))
+    return ranked(found.where("dist is not null"), k)
+
+
+def added(points: DataFrame, more: DataFrame, name: str = "added") -> tuple[DataFrame, Observation]:
+    """The points with more of them; the observation tells how many were added once an action has run."""
+    seen = Observation(name)
+    return points.unionByName(more.observe(seen, F.count(F.lit(1)).alias("points"))), seen
+
+
 def within(queries: DataFrame, candidates: DataFrame, radius: float, p: float = 2) -> DataFrame:
     """All strictly nearer than the radius."""
     return distances(queries, candidates, p).where(F.col("dist") < radius)
