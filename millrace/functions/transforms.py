@@ -134,3 +134,8 @@ def dct_tiles(tiles: np.ndarray) -> np.ndarray:
 
 def idct_tiles(tiles: np.ndarray) -> np.ndarray:
     return np.einsum("ki,nkl,lj->nij", DCT, tiles, DCT)
+
+
+def byte_tiles(tiles: np.ndarray) -> np.ndarray:
+    """The inverse transform as bytes: rounded and held within 0..255."""
+    return np.clip(np.floor(idct_tiles(tiles) + 0.5), 0, 255).astype(np.uint8)

@@ -156,6 +156,24 @@ def encode_images(images: DataFrame) -> DataFrame:
     return images.select(F.col("image_id").cast("string"), "width", "height", "rgb").mapInArrow(run, "image_id string, container binary")
 
 
+def encode_pairs(images: DataFrame) -> DataFrame:
+    """image_id, container of (image_id, width, height, rgb, dxt): the blocks are given, the pixels judge the dictionary.
+
+    dxt holds 8-byte blocks in rows; an image whose blocks or pixels do not fill its sides ends the query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, w, h, raw, dxt in zip(*(b[c].to_pylist() for c in ("image_id", "width", "height", "rgb", "dxt"))):
+                if w % 128 or h % 128 or (w * h // 16) % GROUP or len(raw) != 3 * w * h or len(dxt) != w * h // 2:
+                    raise ValueError(f"{i}: sides, pixels and blocks do not agree, or are no whole groups")
+                px = blocks_of(np.frombuffer(raw, np.uint8).reshape(h, w, 3).astype(np.int64))
+                out = encode_blocks(w, h, *B.dictionary_pass(px, *dxt_blocks(dxt)))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.string()), pa.array([out], pa.binary())], ["image_id", "container"])
+
+    return images.select(F.col("image_id").cast("string"), "width", "height", "rgb", "dxt").mapInArrow(run, "image_id string, container binary")
+
+
 def decode_images(containers: DataFrame, mode: str = "rgb") -> DataFrame:
     """image_id, width, height and data of (image_id, container): RGB bytes, or the 8-byte blocks for mode dxt."""
 
@@ -169,6 +187,22 @@ def decode_images(containers: DataFrame, mode: str = "rgb") -> DataFrame:
     return containers.select(F.col("image_id").cast("string"), "container").mapInArrow(run, "image_id string, width int, height int, data binary")
 
 
+def encode_files(images: DataFrame, folder: str, blocks: DataFrame | None = None) -> DataFrame:
+    """Raster images (image_id a path) to one container file each, named after the image; path and bytes of the files.
+
+    With `blocks` (path, content), an image is coded by the block file of its name, without regard to the endings.
+    """
+    from ..sources.writers import write_files
+
+    stem = lambda c: F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
+    named = images.withColumn("image_id", stem("image_id"))
+    if blocks is None:
+        coded = encode_images(named)
+    else:
+        coded = encode_pairs(named.join(blocks.select(stem("path").alias("image_id"), F.col("content").alias("dxt")), "image_id"))
+    return write_files(coded.select(F.concat("image_id", F.lit(".mrc")).alias("name"), F.col("container").alias("data")), folder)
+
+
 def header(containers: DataFrame, column: str = "container") -> DataFrame:
     """The header's fields as columns, by expressions on the first 28 bytes."""
     fields = [little_endian(F.col(column), 4 * k, 4).alias(name) for k, name in enumerate(FIELDS)]
