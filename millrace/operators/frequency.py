@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,29 @@ def symbol_counts(df: DataFrame, stream: str, symbol: str) -> DataFrame:
     return df.groupBy(F.col(stream).alias("stream"), F.col(symbol).alias("sym")).agg(F.count("*").alias("cnt"))
 
 
+def text_counts(df: DataFrame, stream: str, text: str, size: int = 1 << 20) -> DataFrame:
+    """The same of the low bytes of a text column's code points, counted batch by batch in place of a row a character.
+
+    `size` characters are counted at once. Null streams are a stream of their own; null and empty texts have no symbols.
+    """
+
+    def count(batches):
+        for b in batches:
+            codes = b["stream"].dictionary_encode(null_encoding="encode")
+            number = codes.indices.to_numpy()
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                counts = np.zeros(256, np.int64)
+                texts = "".join(t for t in b["text"].take(pa.array(np.flatnonzero(number == k))).to_pylist() if t)
+                for i in range(0, len(texts), size):
+                    points = np.frombuffer(texts[i : i + size].encode("utf-32-le"), "<u4")
+                    counts += np.bincount(points & 255, minlength=256)
+                seen = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(counts[seen])], ["stream", "sym", "cnt"])
+
+    rows = df.select(F.col(stream).cast("string").alias("stream"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(count, "stream string, sym int, cnt long").groupBy("stream", "sym").agg(F.sum("cnt").alias("cnt"))
+
+
 def apportion(counts: DataFrame, total: int = TOTAL) -> DataFrame:
     """stream, sym, freq: counts scaled to sum to `total` exactly, symbols that occur staying at 1 or more.
 

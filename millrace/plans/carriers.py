@@ -11,12 +11,6 @@ from ..session import table
 WIDTH = 64
 
 
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """lang, sym: the low byte of every character's code point."""
-    docs = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("c"))
-    return docs.where("c <> ''").select("lang", F.ascii("c").bitwiseAND(255).alias("sym"))
-
-
 def pixels(spark: SparkSession, sf: str, lines: int = 0) -> DataFrame:
     """p, x, y, w: a raster of 16-bit words from the events, row by row; with zeros to a multiple of `lines` rows."""
     v = F.abs(F.floor(F.col("value") * 100)).cast("long")

@@ -110,7 +110,7 @@ def own_word_count(spark, sf):
     return w.join(w.groupBy("word").agg(F.count("*").alias("uses")), "word").select("block", "word", "uses")
 
 
-@query("px:16", "h as (select max(y) + 1 as h from px); select (n // 4 * 4 + n % 4)::int as n, (n % 4 * 16)::int as x, (n // 4 * 16)::int as y from (select unnest(generate_series(0, h // 16 * 4 - 1)) as n from h)")
+@query("px:16", "h as (select max(y) + 1 as h from px); select n::int as n, (n % 4 * 16)::int as x, (n // 4 * 16)::int as y from (select unnest(generate_series(0, h // 16 * 4 - 1)) as n from h)")
 def chunk_order(spark, sf):
     """The corners of the raster's 16x16 chunks in their order."""
     size = C.pixels(spark, sf, 16).agg((F.max("y") + 1).alias("h"))

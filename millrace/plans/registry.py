@@ -12,7 +12,7 @@ from ..operators import blocks, codec, entropy, frequency, neighbours, predictio
 from ..sources import textures
 from ..streaming import streams
 from . import carriers as C
-from . import predicted  # noqa: F401  (registers its queries)
+from . import files, predicted  # noqa: F401  (they register their queries)
 from .catalogue import ORACLE, QUERIES, query
 
 
@@ -31,7 +31,7 @@ cum as (select *, coalesce(sum(freq) over (partition by stream order by sym rows
 
 
 def _counts(spark, sf):
-    return frequency.symbol_counts(C.symbols(spark, sf), "lang", "sym")
+    return frequency.text_counts(C.table(spark, sf, "documents"), "lang", "text")
 
 
 def _freq(spark, sf):

@@ -318,3 +318,14 @@ def test_recall_of_knn_lsh(spark):
         got.setdefault(r.query_id, set()).add(r.id)
     assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
     assert sum(len(got[q] & want[q]) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_text_counts_equal_a_row_a_character(spark):
+    texts = [("a", "héllo\U0001F600 wörld"), ("a", ""), ("a", None), (None, "xx\u0141"), ("b", "z" * 50), ("b", "z")]
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    want: dict = {}
+    for lang, text in texts:
+        for c in text or "":
+            want[lang, ord(c) & 255] = want.get((lang, ord(c) & 255), 0) + 1
+    assert {(r.stream, r.sym): r.cnt for r in frequency.text_counts(df, "lang", "text", size=7).collect()} == want
+    assert frequency.text_counts(df.limit(0), "lang", "text").count() == 0
