@@ -110,6 +110,20 @@ def own_word_count(spark, sf):
     return w.join(w.groupBy("word").agg(F.count("*").alias("uses")), "word").select("block", "word", "uses")
 
 
+IMAGE_BLOCKS = 1024
+
+
+@query("px:16", WORDS + f", f as (select block, word, block // {IMAGE_BLOCKS} as image, min(block) over (partition by block // {IMAGE_BLOCKS}, word) as first from words), n as (select *, dense_rank() over (partition by image order by first) - 1 as number from f); select block::int as block, image::bigint as image, word, number::int as number, (number - lag(number, 1, 0) over (partition by image order by block) + 128)::int as delta from n")
+def palette_numbers(spark, sf):
+    """Each image's selector words numbered in the order of their first use, and the numbers' differences from block to block."""
+    image = Window.partitionBy("image")
+    w = _words(spark, sf).withColumn("image", F.expr(f"block div {IMAGE_BLOCKS}"))
+    w = w.withColumn("first", F.min("block").over(Window.partitionBy("image", "word")))
+    w = w.withColumn("number", F.dense_rank().over(image.orderBy("first")) - 1)
+    delta = F.col("number") - F.lag("number", 1, 0).over(image.orderBy("block")) + 128
+    return w.select(F.col("block").cast("int"), "image", "word", "number", delta.alias("delta"))
+
+
 @query("px:16", "h as (select max(y) + 1 as h from px); select n::int as n, (n % 4 * 16)::int as x, (n // 4 * 16)::int as y from (select unnest(generate_series(0, h // 16 * 4 - 1)) as n from h)")
 def chunk_order(spark, sf):
     """The corners of the raster's 16x16 chunks in their order."""

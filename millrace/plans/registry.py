@@ -417,6 +417,40 @@ def wavelet2d_tile(spark, sf):
     return across.select("tile", "i", (F.col("band") * 4 + F.col("at")).cast("int").alias("j"), F.col("coef").alias("v"))
 
 
+def _coefficients(tiles: DataFrame, size: int, f, kind: str) -> DataFrame:
+    """tile, i, j, v of (tile, a): f over whole batches of (n, size, size) tiles."""
+
+    def run(batches):
+        for b in batches:
+            t = f(np.array(b["a"].to_pylist(), dtype=np.int64).reshape(-1, size, size))
+            i, j = (np.tile(x.ravel(), len(t)).astype(np.int32) for x in np.indices((size, size)))
+            tile = np.repeat(b["tile"].to_numpy(), size * size)
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(i), pa.array(j), pa.array(t.reshape(-1))], ["tile", "i", "j", "v"])
+
+    return tiles.mapInArrow(run, f"tile {tiles.schema['tile'].dataType.simpleString()}, i int, j int, v {kind}")
+
+
+def _wavelet_levels(size: int) -> str:
+    """The levels of the transform as expressions: columns, then rows, of a corner that halves; the rest stays."""
+
+    def lifted(name: str, of: str, at: str, other: str, d: int) -> str:
+        win = f"window c as (partition by tile, {other} order by {at})"
+        return f"{name}h as (select tile, i, j, v, case when {at} % 2 = 1 then v - (lag(v) over c + coalesce(lead(v) over c, lag(v) over c)) // 2 end as h from {of} {win}), {name} as (select tile, {other}, case when {at} % 2 = 1 then {d // 2} + {at} // 2 else {at} // 2 end as {at}, case when {at} % 2 = 1 then h else v + (coalesce(lag(h) over c, lead(h) over c) + coalesce(lead(h) over c, lag(h) over c) + 2) // 4 end as v from {name}h {win})"
+
+    out, before, d = [], "t", size
+    while d > 1:
+        out += [f"corner{d} as (select * from {before} where i < {d} and j < {d})", lifted(f"down{d}", f"corner{d}", "i", "j", d), lifted(f"across{d}", f"down{d}", "j", "i", d)]
+        out.append(f"level{d} as (select tile, i, j, v from across{d} union all select tile, i, j, v from {before} where i >= {d} or j >= {d})")
+        before, d = f"level{d}", d // 2
+    return ", ".join(out)
+
+
+@query("px:32 rgb", "t as (select (y // 32) * 2 + x // 32 as tile, y % 32 as i, x % 32 as j, r as v from rgb), " + _wavelet_levels(32) + "; select tile::int as tile, i::int as i, j::int as j, v::bigint as v from level2")
+def wavelet_levels(spark, sf):
+    """Every coefficient of tiles of 32x32 after five levels."""
+    return _coefficients(_tiles(spark, sf, 32), 32, transforms.forward_tiles, "long")
+
+
 @query("px:32", "select count(*) // 1024 as tiles, 0::bigint as bad from px")
 def wavelet_bad_rows(spark, sf):
     """Tiles of 32x32 through five levels and back: how many there are and how many are not restored."""
@@ -461,6 +495,12 @@ def quant_chroma(spark, sf):
     return _quantised(spark, sf, transforms.CHROMA)
 
 
+@query("px:8 rgb", COSINES + ", t as (select (y // 8) * 8 + x // 8 as tile, y % 8 as i, x % 8 as j, r as v from rgb), a as (select tile, t.i, m.k as j, sum(m.c * v) as v from t join m on m.i = t.j group by all), b as (select tile, m.k as i, a.j, sum(m.c * v) as v from a join m on m.i = a.i group by all); select tile::int as tile, i::int as i, j::int as j, round(v, 6) + 0.0::double as v from b")
+def dct2d_tiles(spark, sf):
+    """Every coefficient of the cosine transform of 8x8 tiles."""
+    return _coefficients(_tiles(spark, sf, 8), 8, lambda t: transforms.dct_tiles(t.astype(np.float64)), "double").withColumn("v", F.round("v", 6) + 0.0)
+
+
 @query("px:8", "select count(*) // 64 as tiles, 0.0::double as gap from px")
 def dct_tile_round_trip(spark, sf):
     """8x8 tiles transformed, and back; the largest difference, rounded."""
