@@ -1,4 +1,4 @@
-"""Readers of image and texture files, and a PNG writer.
+"""Readers of image and texture files, and PNG bytes.
 
 Containers, DDS and KTX headers are parsed by column expressions over Spark's binaryFile source, so a directory is
 listed and split by Spark. Raster images come from Spark's image source.
@@ -23,7 +23,7 @@ BLOCK_BYTES = {"DXT1": 8, "DXT3": 16, "DXT5": 16}
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length and content of a directory's files."""
+    """path, length and content of a directory's files; Spark's source has no rows for empty ones."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 

@@ -150,3 +150,47 @@ def test_bytes_of_tiles_are_held_in_range():
     assert (transforms.byte_tiles(tiles)[0] == 255).all() and (transforms.byte_tiles(tiles)[1] == 0).all()
     given = np.random.default_rng(5).integers(0, 256, (3, 8, 8))
     assert (transforms.byte_tiles(transforms.dct_tiles(given)) == given).all()
+
+
+def test_container_source(spark, tmp_path):
+    from millrace.sources import containers
+
+    containers.register(spark)
+    folder = f"file://{tmp_path}/c"
+    df = spark.createDataFrame([(f"i{k}", bytes([k]) * k) for k in range(6)], "image_id string, container binary")
+    for _ in range(2):  # the same again leaves the same files
+        df.select("container", "image_id").write.format("millrace_container").mode("append").save(folder)
+    (tmp_path / "c/other.txt").write_bytes(b"")
+    back = spark.read.format("millrace_container").option("partition_bytes", 4).load(folder)
+    assert back.rdd.getNumPartitions() > 1
+    assert sorted((r.image_id, bytes(r.container)) for r in back.collect()) == [(f"i{k}", bytes([k]) * k) for k in range(6)]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("millrace_container").load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_pnm_and_tga_files(spark, tmp_path):
+    from millrace.sources import rasters
+
+    px = np.random.default_rng(6).integers(0, 256, (3, 4, 3), dtype=np.uint8)
+    gray = px[:, :, 0]
+    packed = np.repeat(np.array([[[9, 8, 7]]], np.uint8), 12, axis=0).reshape(3, 4, 3)
+    rle = bytearray(writers.tga_bytes(packed))
+    rle[2] = 10
+    head = writers.tga_bytes(px)[:18]
+    files = {
+        "a.ppm": (b"P6\n# made here\n4 3\n255\n" + px.tobytes(), px),
+        "b.pgm": (b"P5 4 3 255 " + gray.tobytes(), np.repeat(gray[:, :, None], 3, axis=2)),
+        "c.ppm": (b"P3\n4 3\n255\n" + " ".join(map(str, px.ravel())).encode(), px),
+        "d.tga": (writers.tga_bytes(px), px),
+        "e.TGA": (writers.tga_bytes(np.dstack([px, gray])), px),
+        "f.tga": (bytes(rle[:18]) + bytes([0x80 | 8, 7, 8, 9, 2]) + bytes([7, 8, 9] * 3), packed),
+        "g.tga": (head[:17] + b"\0" + writers.tga_bytes(px[::-1])[18:], px),
+        "h.tga": (head + b"short", None),
+        "i.ppm": (b"P6 4 3 65535 ", None),
+        "j.pgm": (b"P5", None),  # the binaryFile source has no rows for empty files
+    }
+    for name, (raw, _) in files.items():
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "k.txt").write_bytes(b"P6")
+    got = {r.image_id[-5:]: None if r.rgb is None else np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3).tolist() for r in rasters.decode_rasters(textures.binary_files(spark, str(tmp_path))).collect()}
+    assert got == {name: None if want is None else want.tolist() for name, (_, want) in files.items()}
