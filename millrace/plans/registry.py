@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, color, grid, transforms, vectors
 from ..operators import blocks, codec, entropy, frequency, neighbours, prediction, scans
+from ..session import spread
 from ..sources import textures
 from ..streaming import streams
 from . import carriers as C
@@ -646,6 +647,7 @@ def _streams(spark, sf):
 
     counts = docs.mapInArrow(count, "stream string, sym int, cnt long").groupBy("stream", "sym").agg(F.sum("cnt").alias("cnt"))
     freq = counts.groupBy("stream").applyInArrow(apportion, "name string, freq binary")
+    docs = spread(docs)
     return docs.join(F.broadcast(freq), docs["stream"].eqNullSafe(freq["name"])).select("stream", "data", "freq")
 
 

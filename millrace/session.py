@@ -47,3 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_folder(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer partitions, as of a file of one row group; else as they are.
+
+    For what costs far more for each byte than a shuffle of it; large tables have the partitions already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
