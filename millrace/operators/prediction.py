@@ -6,13 +6,16 @@ words with their counts; sums are integers, so centres do not depend on how the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..session import written
+from ..session import spread, written
 from .blocks import ORDER, selectors_of, word_of
 
 
@@ -63,33 +66,52 @@ def block_clusters(blocks: DataFrame, n: int = 256, rounds: int = 1000) -> np.nd
     """(clusters, 16) rounded centres of the blocks' selectors: k-means from the n most used words to its fixed point.
 
     Equal counts go by word, equal distances to the earlier cluster; a cluster that loses all blocks goes. Each round
-    sends 17 whole numbers a cluster to the driver. No blocks give no clusters; `rounds` only guards the loop, which
-    raises if it does not end.
+    is one stage without a shuffle and sends 17 whole numbers a cluster and task to the driver. No blocks give no
+    clusters; `rounds` only guards the loop, which raises if it does not end.
     """
     uses = written(blocks.where("word is not null").groupBy("word").agg(F.count("*").alias("uses")), "block-words")
     seeds = [r.word for r in uses.orderBy(F.desc("uses"), "word").limit(n).collect()]
     if not seeds:
         return np.zeros((0, 16), np.int64)
     sums, sizes = selectors_of(np.array(seeds)), np.ones(len(seeds), np.int64)
-    fields = [f"s{k}" for k in range(16)]
-    schema = "cluster int, uses long, " + ", ".join(f"{f} long" for f in fields)
-    for _ in range(rounds):
+    points = _packed(uses).persist()
+    try:
+        return _fixed_point(points, sums, sizes, rounds)
+    finally:
+        points.unpersist()
+
+
+def _packed(uses: DataFrame) -> RDD:
+    """The words and their uses as bytes, a pair of them for some thousands of words, over all cores."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b[c].to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("word", "uses")], ["word", "uses"])
+
+    return spread(uses).mapInArrow(run, "word binary, uses binary").rdd.map(tuple)
+
 
-        def step(batches, sums=sums, sizes=sizes):
-            for b in batches:
-                points, uses = selectors_of(b["word"].to_numpy()), b["uses"].to_numpy()
-                own = _nearest(points, sums, sizes)
-                total, count = np.zeros_like(sums), np.zeros(len(sums), np.int64)
-                np.add.at(total, own, points * uses[:, None])
-                np.add.at(count, own, uses)
-                kept = np.flatnonzero(count)
-                columns = [pa.array(kept, pa.int32()), pa.array(count[kept]), *(pa.array(total[kept, k]) for k in range(16))]
-                yield pa.RecordBatch.from_arrays(columns, ["cluster", "uses", *fields])
-
-        found = uses.mapInArrow(step, schema).groupBy("cluster").agg(*(F.sum(c).alias(c) for c in ("uses", *fields))).orderBy("cluster").collect()
-        sizes_after = np.array([r.uses for r in found])
-        sums_after = np.array([[r[f] for f in fields] for r in found])
-        if len(found) == len(sums) and (sums_after * sizes[:, None] == sums * sizes_after[:, None]).all():
+def _partial(points: Iterable[tuple[bytes, bytes]], sums: np.ndarray, sizes: np.ndarray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Of some points the sums and sizes by nearest centre; `step` points at a time, so that their distances stay in the cache."""
+    n = len(sums)
+    total, count = np.zeros((n, 16)), np.zeros(n)
+    for raw in points:
+        words, uses = (np.frombuffer(x, np.int64) for x in raw)
+        for k in range(0, len(words), step):
+            sel, weight = selectors_of(words[k : k + step]), uses[k : k + step]
+            own = _nearest(sel, sums, sizes)
+            count += np.bincount(own, weight, n)
+            total += np.stack([np.bincount(own, sel[:, j] * weight, n) for j in range(16)], axis=1)
+    return total.astype(np.int64), count.astype(np.int64)
+
+
+def _fixed_point(points: RDD, sums: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
+    for _ in range(rounds):
+        found = points.mapPartitions(lambda rows, sums=sums, sizes=sizes: [_partial(rows, sums, sizes)]).collect()
+        sums_after, sizes_after = sum(f[0] for f in found), sum(f[1] for f in found)
+        kept = np.flatnonzero(sizes_after)
+        sums_after, sizes_after = sums_after[kept], sizes_after[kept]
+        if len(kept) == len(sums) and (sums_after * sizes[:, None] == sums * sizes_after[:, None]).all():
             return (2 * sums_after + sizes_after[:, None]) // (2 * sizes_after[:, None])
         sums, sizes = sums_after, sizes_after
     raise RuntimeError(f"no fixed point in {rounds} rounds")

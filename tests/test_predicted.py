@@ -50,6 +50,26 @@ def test_clusters_equal_a_plain_loop(spark, n):
         assert got[block] == (cluster, delta)
 
 
+def test_a_round_of_clusters_is_one_stage(spark):
+    words = B.word_of(np.random.default_rng(6).integers(0, 4, (900, 16)))
+    df = spark.createDataFrame([(k, int(w)) for k, w in enumerate(words)], "block long, word long")
+    points, rounds = B.selectors_of(np.sort(words)), 0
+    sums, sizes = points[:30], np.ones(30, np.int64)
+    while True:
+        rounds += 1
+        own = prediction._nearest(points, sums, sizes)
+        after = [points[own == c].sum(axis=0) for c in range(30)]
+        if (np.array(after) * sizes[:, None] == sums * np.bincount(own, minlength=30)[:, None]).all():
+            break
+        sums, sizes = np.array(after), np.bincount(own, minlength=30)
+    spark.sparkContext.setJobGroup("clusters", "")
+    prediction.block_clusters(df, 30)
+    tracker = spark.sparkContext.statusTracker()
+    stages = sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("clusters"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert rounds > 8 and stages < 2 * rounds + 12
+
+
 def test_clusters_of_nothing(spark):
     none = spark.createDataFrame([], "block long, word long")
     assert prediction.block_clusters(none, 4).shape == (0, 16)
