@@ -117,6 +117,13 @@ def _fixed_point(points: RDD, sums: np.ndarray, sizes: np.ndarray, rounds: int)
     raise RuntimeError(f"no fixed point in {rounds} rounds")
 
 
+def _placed(points: np.ndarray, places: np.ndarray, step: int = 1024) -> np.ndarray:
+    """Number of the places nearest to each point, equal ones the first; whole numbers, exact in double precision."""
+    across, square = 2.0 * places.T, (places * places).sum(axis=1).astype(np.float64)
+    own = [(square - points[k : k + step].astype(np.float64) @ across).argmin(axis=1) for k in range(0, len(points), step)]
+    return np.concatenate([np.zeros(0, np.int64), *own])
+
+
 def by_cluster(blocks: DataFrame, centres: np.ndarray) -> DataFrame:
     """block, cluster, delta: the nearest centre of each block, and its selectors less that one's, as a word.
 
@@ -124,13 +131,15 @@ def by_cluster(blocks: DataFrame, centres: np.ndarray) -> DataFrame:
     are no rows.
     """
 
+    places = ORDER[centres]
+
     def run(batches):
         for b in batches:
-            points = ORDER[selectors_of(b["word"].to_numpy())]
-            places = ORDER[centres]
-            dist = (places * places).sum(axis=1) - 2 * (points @ places.T)
-            own = dist.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([b["block"], pa.array(own, pa.int32()), pa.array(word_of((points + 4 - places[own]) % 4))], ["block", "cluster", "delta"])
+            words, number = np.unique(b["word"].to_numpy(), return_inverse=True)
+            points = ORDER[selectors_of(words)]
+            own = _placed(points, places)
+            delta = word_of((points + 4 - places[own]) % 4)
+            yield pa.RecordBatch.from_arrays([b["block"], pa.array(own[number], pa.int32()), pa.array(delta[number])], ["block", "cluster", "delta"])
 
     rows = blocks.where("word is not null").select(F.col("block").cast("long"), F.col("word").cast("long"))
     if not len(centres):

@@ -70,6 +70,15 @@ def test_a_round_of_clusters_is_one_stage(spark):
     assert rounds > 8 and stages < 2 * rounds + 12
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 50])
+def test_nearest_places_piece_by_piece(n):
+    draw = np.random.default_rng(n)
+    points, places = draw.integers(0, 4, (n, 16)), draw.integers(0, 4, (5, 16))
+    places = np.concatenate([places, places])  # equal ones
+    want = [min(range(10), key=lambda c: (int(((p - places[c]) ** 2).sum()), c)) for p in points]
+    assert prediction._placed(points, places, step=7).tolist() == want
+
+
 def test_clusters_of_nothing(spark):
     none = spark.createDataFrame([], "block long, word long")
     assert prediction.block_clusters(none, 4).shape == (0, 16)
