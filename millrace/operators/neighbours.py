@@ -1,8 +1,9 @@
 """Exact, radius, paged and approximate nearest neighbours of a stated query set.
 
-Queries are copied to every part of the candidates, which are dealt by a hash into as many parts as there are shuffle
-partitions: an equi join on the part, each task holding a share of the candidates. Spark broadcasts the queries only
-where they are below its threshold; the first k of each part are kept before the final rank.
+Distances by a norm are taken block by block (pairwise), and the first k of each pair of blocks are kept before the
+final rank. For distances and products that the caller gives as columns, queries are copied to every part of the
+candidates, which are dealt by a hash into as many parts as there are shuffle partitions: an equi join on the part,
+each task holding a share of the candidates. Spark broadcasts the queries only where they are below its threshold.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import pairwise
 
 
 def pairs(queries: DataFrame, candidates: DataFrame, parts: int | None = None) -> DataFrame:
@@ -24,8 +26,8 @@ def pairs(queries: DataFrame, candidates: DataFrame, parts: int | None = None) -
 
 
 def ranked(found: DataFrame, k: int | None = None, first: int = 1) -> DataFrame:
-    """Rank by distance, equal ones by id; rows of ranks first .. first + k - 1."""
-    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id")))
+    """Rank by distance, equal ones by id, null ones last; rows of ranks first .. first + k - 1."""
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("dist"), "id")))
     return out if k is None else out.where((F.col("rank") >= first) & (F.col("rank") < first + k))
 
 
@@ -35,7 +37,7 @@ def distances(queries: DataFrame, candidates: DataFrame, p: float = 2, digits: i
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1, p: float = 2) -> DataFrame:
-    return ranked(distances(queries, candidates, p), k)
+    return ranked(pairwise.met(queries, candidates, pairwise.by_norm(p), pairwise.nearest_of(k)), k)
 
 
 def nearest_by(queries: DataFrame, candidates: DataFrame, distance: Callable[[Column, Column], Column], k: int = 1, digits: int = 9) -> DataFrame:
