@@ -37,7 +37,7 @@ def distances(queries: DataFrame, candidates: DataFrame, p: float = 2, digits: i
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1, p: float = 2) -> DataFrame:
-    return ranked(pairwise.met(queries, candidates, pairwise.by_norm(p), pairwise.nearest_of(k)), k)
+    return page(queries, candidates, 0, k, p)
 
 
 def nearest_by(queries: DataFrame, candidates: DataFrame, distance: Callable[[Column, Column], Column], k: int = 1, digits: int = 9) -> DataFrame:
@@ -59,7 +59,8 @@ def within(queries: DataFrame, candidates: DataFrame, radius: float, p: float =
 
 def page(queries: DataFrame, candidates: DataFrame, number: int, size: int, p: float = 2) -> DataFrame:
     """The incremental cursor: the neighbours of the number-th page."""
-    return ranked(distances(queries, candidates, p), size, number * size + 1)
+    found = pairwise.met(queries, candidates, pairwise.by_norm(p), pairwise.nearest_of((number + 1) * size))
+    return ranked(found, size, number * size + 1)
 
 
 def approximate(queries: DataFrame, candidates: DataFrame, k: int = 1, tables: int = 16, bucket: float = 0.5, seed: int = 3) -> DataFrame:
