@@ -32,8 +32,7 @@ def ranked(found: DataFrame, k: int | None = None, first: int = 1) -> DataFrame:
 
 
 def distances(queries: DataFrame, candidates: DataFrame, p: float = 2, digits: int = 9) -> DataFrame:
-    d = F.round(vectors.distance(F.col("q"), F.col("v"), p), digits)
-    return pairs(queries, candidates).select("query_id", "id", d.alias("dist"))
+    return pairwise.met(queries, candidates, pairwise.by_norm(p, digits))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1, p: float = 2) -> DataFrame:
