@@ -45,6 +45,11 @@ def nearest_by(queries: DataFrame, candidates: DataFrame, distance: Callable[[Co
     return ranked(found.where("dist is not null"), k)
 
 
+def nearest_by_blocks(queries: DataFrame, candidates: DataFrame, distance: pairwise.Distance, k: int = 1) -> DataFrame:
+    """The same by the caller's own distance of two blocks of vectors, as matrices; an unknown distance takes no part."""
+    return ranked(pairwise.met(queries, candidates, distance, pairwise.nearest_of(k, nulls=False)), k)
+
+
 def added(points: DataFrame, more: DataFrame, name: str = "added") -> tuple[DataFrame, Observation]:
     """The points with more of them; the observation tells how many were added once an action has run."""
     seen = Observation(name)

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import bits, color, grid, vectors
-from ..operators import entropy, neighbours, prediction
+from ..functions import bits, color, grid
+from ..operators import entropy, neighbours, pairwise, prediction
 from . import carriers as C
 from .catalogue import query
 
@@ -161,8 +161,7 @@ _ANGLE = "round(1 - list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[
 def knn_by_angle(spark, sf):
     """The three nearest by a distance that the caller gives: one less the cosine."""
     points = C.points(spark, sf)
-    angle = lambda a, b: 1 - F.try_divide(vectors.dot(a, b), vectors.norm(a) * vectors.norm(b))
-    return neighbours.nearest_by(points.where("id % 20 = 0"), points, angle, k=3)
+    return neighbours.nearest_by_blocks(points.where("id % 20 = 0"), points, pairwise.by_angle(), k=3)
 
 
 PART = entropy.SHORT_LIMIT

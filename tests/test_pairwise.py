@@ -47,6 +47,12 @@ def test_nearest_and_page_with_nulls_last(odd, sizes, k):
     assert plain(neighbours.page(q, odd, 2, k).collect()) == plain(d.where((F.col("rank") > 2 * k) & (F.col("rank") <= 3 * k)).collect())
 
 
+def test_angle_equals_columns(odd, sizes):
+    angle = lambda a, b: 1 - F.try_divide(vectors.dot(a, b), vectors.norm(a) * vectors.norm(b))
+    want = neighbours.nearest_by(odd, odd, angle, 5).collect()
+    assert plain(neighbours.nearest_by_blocks(odd, odd, pairwise.by_angle(), 5).collect()) == plain(want)
+
+
 def test_rounding_as_sql():
     import duckdb
 
@@ -57,7 +63,7 @@ def test_rounding_as_sql():
         assert pairwise.rounded(x, digits).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["l1_dist", "l2_dist", "linf_dist", "lp_dist", "knn_exact", "knn_page"])
+@pytest.mark.parametrize("name", ["l1_dist", "l2_dist", "linf_dist", "lp_dist", "knn_exact", "knn_page", "knn_by_angle"])
 def test_no_fold_a_pair(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "aggregate(" not in plan and "FlatMapCoGroupsInArrow" in plan
