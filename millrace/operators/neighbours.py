@@ -68,17 +68,23 @@ def page(queries: DataFrame, candidates: DataFrame, number: int, size: int, p: f
 
 
 def approximate(queries: DataFrame, candidates: DataFrame, k: int = 1, tables: int = 16, bucket: float = 0.5, seed: int = 3) -> DataFrame:
-    """Candidates that share a bucket of random projections, ranked by exact distance."""
+    """Candidates that share a bucket of random projections, ranked by exact distance; null vectors take no part.
+
+    Rows meet by table and bucket, in blocks; a pair that shares several buckets is taken in the first of their tables.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.select("id", "vec", array_to_vector("vec").alias("features"))
+        return df.where("vec is not null").select("id", "vec", array_to_vector("vec").alias("features"))
 
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(ready(candidates))
-    near = model.approxSimilarityJoin(ready(queries), ready(candidates), 1e9, distCol="d")
-    found = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(vectors.distance(F.col("datasetA.vec"), F.col("datasetB.vec")), 9).alias("dist"))
-    return ranked(found.where("query_id <> id"), k)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        hashes = F.array(*(vector_to_array(F.col("hashes")[t])[0] for t in range(tables)))
+        return model.transform(ready(df)).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), hashes.alias("buckets"))
+
+    return ranked(pairwise.met_by_bucket(hashed(queries), hashed(candidates), k), k)
 
 
 def bounding_box(df: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def test_angle_equals_columns(odd, sizes):
     assert plain(neighbours.nearest_by_blocks(odd, odd, pairwise.by_angle(), 5).collect()) == plain(want)
 
 
+@pytest.mark.parametrize("rows", [8192, 40])
+def test_buckets_lose_no_pair_and_repeat_none(spark, monkeypatch, rows):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(pairwise, "BUCKET_ROWS", rows)
+    draw = np.random.default_rng(7)
+    x = draw.integers(-3, 4, (150, 4)) / 2
+    points = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)] + [(900, None)], "id long, vec array<double>")
+    q = points.where("id % 5 = 0")
+    for tables, bucket in ((4, 0.3), (6, 3.0)):
+        ready = points.where("vec is not null").select("id", "vec", array_to_vector("vec").alias("features"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=3).fit(ready)
+        near = model.approxSimilarityJoin(ready.where("id % 5 = 0"), ready, 1e9, distCol="d")
+        d = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(vectors.distance(F.col("datasetA.vec"), F.col("datasetB.vec")), 9).alias("dist")).where("query_id <> id")
+        for k in (1, 9, 1000):
+            got = neighbours.approximate(q, points, k, tables, bucket).collect()
+            assert plain(got) == plain(neighbours.ranked(d, k).collect())
+
+
+def test_no_join_a_bucket(spark):
+    plan = registry.QUERIES["knn_lsh"](spark, SF)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
 def test_rounding_as_sql():
     import duckdb
 
