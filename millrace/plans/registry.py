@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, color, grid, transforms, vectors
 from ..operators import blocks, codec, entropy, frequency, neighbours, prediction, scans
-from ..session import spread
+from ..session import spread, written
 from ..sources import textures
 from ..streaming import streams
 from . import carriers as C
@@ -814,8 +814,8 @@ WORD_GROUP = 2048
 def reassign_selectors(spark, sf):
     """Blocks moved to the selector word of other blocks that adds the least error, if that is little.
 
-    Every word that occurs is offered to every block: blocks and words meet in groups of about WORD_GROUP each,
-    so the pairs grow with the square of the raster.
+    Every word that occurs is offered to every block, to equal blocks once: blocks and words meet in groups of about
+    WORD_GROUP blocks and 16 WORD_GROUP words, so the pairs grow with the square of the raster's different blocks.
     """
 
     def code(batches):
@@ -829,19 +829,21 @@ def reassign_selectors(spark, sf):
         old = [left[c].to_numpy() for c in ("ep1", "ep2", "old")]
         ep1, ep2, word, cost, uses = blocks.best_words(px, *old, right["word"].to_numpy(), right["uses"].to_numpy(), 400.0)
         values = [pa.array(x, pa.int64()) for x in (cost, -uses, word, ep1, ep2, old[2])]
-        return pa.table([left["block"], *values], names=["block", "cost", "rank", "sel", "ep1", "ep2", "old"])
+        return pa.table([left["px"], *values], names=["px", "cost", "rank", "sel", "ep1", "ep2", "old"])
 
-    coded = _block_table(spark, sf).mapInArrow(code, "block int, px binary, ep1 long, ep2 long, old long")
-    n_blocks, n_words = coded.agg(F.count("*"), F.countDistinct("old")).first()
-    sides = [max(1, -(-n // WORD_GROUP)) for n in (n_blocks, n_words)]
+    coded = written(_block_table(spark, sf).mapInArrow(code, "block int, px binary, ep1 long, ep2 long, old long"), "coded-blocks")
+    different = coded.drop("block").dropDuplicates(["px"])
+    words = coded.groupBy(F.col("old").alias("word")).agg(F.count("*").alias("uses"))
+    n_blocks, n_words = different.count(), words.count()
+    cores = spark.sparkContext.defaultParallelism
+    sides = max(1, -(-n_blocks // WORD_GROUP), min(2 * cores, n_blocks // 256)), max(1, -(-n_words // (16 * WORD_GROUP)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = coded.withColumn("b", dealt("block", sides[0])).withColumn("w", copies(sides[1]))
-    words = coded.groupBy(F.col("old").alias("word")).agg(F.count("*").alias("uses"))
+    left = different.withColumn("b", dealt("px", sides[0])).withColumn("w", copies(sides[1]))
     right = words.withColumn("w", dealt("word", sides[1])).withColumn("b", copies(sides[0]))
-    met = left.groupBy("b", "w").cogroup(right.groupBy("b", "w")).applyInArrow(meet, "block int, cost long, rank long, sel long, ep1 long, ep2 long, old long")
-    best = met.groupBy("block").agg(F.min(F.struct("cost", "rank", "sel", "ep1", "ep2", "old")).alias("m"))
-    return best.select("block", "m.ep1", "m.ep2", "m.sel", "m.old")
+    met = left.groupBy("b", "w").cogroup(right.groupBy("b", "w")).applyInArrow(meet, "px binary, cost long, rank long, sel long, ep1 long, ep2 long, old long")
+    best = met.groupBy("px").agg(F.min(F.struct("cost", "rank", "sel", "ep1", "ep2", "old")).alias("m"))
+    return coded.select("block", "px").join(best, "px").select("block", "m.ep1", "m.ep2", "m.sel", "m.old")
 
 
 @query("px", "select 't' || p as path, greatest(1, (p + 4) >> l)::bigint as width, greatest(1, (p * 2 + 4) >> l)::bigint as height, 'DXT1' as fourcc, l::bigint as level, (((greatest(1, (p + 4) >> l) + 3) // 4) * ((greatest(1, (p * 2 + 4) >> l) + 3) // 4) * 8)::bigint as bytes from px, range(3) r(l)")

@@ -262,6 +262,33 @@ def test_reassign_offers_every_word(spark, monkeypatch):
     assert len(words) > 16
 
 
+def test_equal_blocks_are_searched_once(spark, tmp_path, monkeypatch):
+    from millrace.plans import registry
+
+    n = 64 * 64  # a raster, and below it the same again
+    df = spark.range(2 * n).selectExpr("id as event_id", f"cast((id % {n}) * 7919 % 30011 as double) / 100 as value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    asked = spark.sparkContext.accumulator(0)
+    search = blocks.best_words
+    monkeypatch.setattr(registry, "blocks", type("counted", (), {"compress": staticmethod(blocks.compress), "best_words": staticmethod(lambda px, *a: (asked.add(len(px)), search(px, *a))[1])}))
+    got = {r.block: (r.ep1, r.ep2, r.sel, r.old) for r in registry.reassign_selectors(spark, str(tmp_path)).collect()}
+    assert len(got) == 512 and all(got[b] == got[b + 256] for b in range(256))
+    assert 0 < asked.value <= 256
+
+
+def test_best_words_of_even_blocks_equal_a_full_search():
+    draw = np.random.default_rng(3)  # where the bound leaves out next to nothing
+    px = np.clip(draw.integers(0, 256, (30, 1, 3)) + draw.integers(-3, 4, (30, 16, 3)), 0, 255)
+    old = blocks.compress(px)
+    words, uses = np.unique(np.concatenate([old[2], draw.integers(0, 1 << 32, 40)]), return_counts=True)
+    got = blocks.best_words(px, *old, words, uses, 400.0, step=2)
+    for i in range(30):
+        order = np.lexsort((words, -uses))
+        order = order[words[order] != old[2][i]]
+        one = blocks.reassign(px[i : i + 1], *(x[i : i + 1] for x in old), words[order], 400.0)
+        assert [int(x[i]) for x in got[:3]] == [int(x[0]) for x in one]
+
+
 def test_best_words_equal_a_full_search():
     draw = np.random.default_rng(8)
     px = np.clip(draw.integers(0, 256, (60, 1, 3)) + draw.integers(0, 2, (60, 16, 1)) * draw.integers(0, 90, (60, 1, 3)) + draw.integers(-9, 9, (60, 16, 3)), 0, 255)
