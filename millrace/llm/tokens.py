@@ -26,6 +26,8 @@ CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), 0x27]] = LET
 CLASS[[*range(9, 14), 0x20]] = SPACE
 SLOT_BITS, KEPT_ENTRIES, KEPT_IDS, LONGEST_PIECE = 21, 700_000, 6_000_000, 256
 SEPARATOR = b"\x00"
+#: What bounds a worker's memory beside the table: bytes of texts cut at once, pieces of one call of the library.
+CHUNK_BYTES, CALL_PIECES = 1 << 18, 4096
 
 
 class Encoder:
@@ -33,20 +35,25 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
         self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+        self.key, self.entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self._allocate()
         self._empty()
 
-    def _empty(self) -> None:
-        self.key = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.entry = np.zeros(1 << SLOT_BITS, np.int32)
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.entries, self.used = np.zeros(4096, np.uint32), 1, 0  # entry 0, of no size, is that of an empty slot
+    def _allocate(self) -> None:
         # a slot's key is the piece's first word; size in bytes, and all words with their place
-        self.size, self.word_at = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.words, self.words_used = np.zeros(4096, np.uint64), 0
+        self.start, self.length, self.size, self.word_at = (np.zeros(1024, np.int32) for _ in range(4))
+        self.ids, self.words = np.zeros(4096, np.uint32), np.zeros(4096, np.uint64)
+
+    def _empty(self) -> None:
+        """Forget all pieces; the arrays stay, unless a very long text has made them larger than others need."""
+        if len(self.start) > 2 * KEPT_ENTRIES or max(len(self.ids), len(self.words)) > 2 * KEPT_IDS:
+            self._allocate()
+        self.entry.fill(0)  # entry 0, of no size, is that of an empty slot
+        self.entries, self.used, self.words_used = 1, 0, 0
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,13 +66,17 @@ class Encoder:
         if not self.mark or len(pieces) < 2 or any(self.mark in p for p in pieces):
             got = self._direct(pieces)
             return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
-        (e,) = self.joined.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)
-        ids = np.array(e.ids, dtype=np.uint32)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        finally:
+            self.tokenizer.encode_special_tokens = True
         ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, hashes: np.ndarray, pieces: list[str], sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        ids, n = self._pieces(pieces)
+        calls = [self._pieces(pieces[k : k + CALL_PIECES]) for k in range(0, len(pieces), CALL_PIECES)]
+        ids, n = (np.concatenate(x) for x in zip(*calls))
         first, end = self.entries, self.entries + len(pieces)
         while end > len(self.start):
             self.start, self.length, self.size, self.word_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.size, self.word_at))
@@ -163,7 +174,7 @@ class Encoder:
             else:
                 out[k] = self._direct([t])[0]
         raw = [t for _, t in cut]
-        for i, j in chunks(raw):
+        for i, j in chunks(raw, CHUNK_BYTES):
             ids, n = self._chunk(raw[i:j])
             for (k, _), part in zip(cut[i:j], np.split(ids, np.cumsum(n)[:-1])):
                 out[k] = part

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -94,6 +97,41 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in got] == [x[:-1].tolist() for x in reference_ids(texts, 0)]
 
 
+MEMORY = """
+import random, re
+from millrace.llm import tokens
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+rnd, before = random.Random(2), mb()
+e, most = tokens.Encoder(tokens.public_vocabulary()), 0
+for _ in range(8):
+    e([" ".join("".join(rnd.choices("abcdefgh", k=8)) for _ in range(1000)) for _ in range(100)])
+    most = max(most, mb() - before)
+print(most)
+"""
+
+
+def test_encoder_takes_little_memory():
+    root = Path(tokens.__file__).parents[2]
+    got = subprocess.run([sys.executable, "-c", MEMORY], cwd=root, capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 200, got.stdout
+
+
+def test_encoder_bounds_its_calls_and_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "CALL_PIECES", 50)
+    monkeypatch.setattr(tokens, "KEPT_ENTRIES", 300)
+    encoder, rnd, calls = tokens.Encoder(tokens.public_vocabulary()), random.Random(4), []
+    pieces = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda p: calls.append(len(p)) or pieces(p))
+    for n in (400, 5, 400, 2000, 5, 1):
+        texts = [" ".join("".join(rnd.choices("abé1!", k=rnd.randint(1, 9))) for _ in range(n)) for _ in range(3)] + ["x <|endoftext|> y", None]
+        assert [x.tolist() for x in encoder(texts)] == [x[:-1].tolist() for x in reference_ids(texts, 0)]
+        kept = len(encoder.start)
+    assert max(calls) == 50 and kept < 2000  # a long text's arrays don't stay
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs, rows = awkward(spark)
     token_store.write_tokens(docs, str(tmp_path / "t"), tokens.public_vocabulary(), page_rows=2)
